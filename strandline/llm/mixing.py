@@ -5,7 +5,7 @@ source's documents, the prefix sum of expected copies plus one random offset is
 for each whole number that its step crosses. A step is at most max_repeat, so a document is too.
 
 The prefix sum is taken in two levels, so that no task holds a source: documents are dealt into strata (size by
-doublings) and, within one, into salts by the hash of doc_id; only the counts of (source, stratum, salt), at most some
+quarters of doublings) and, within one, into salts by the hash of doc_id; only the counts of (source, stratum, salt), at most some
 thousands for a source however many documents it has, are summed along the source, and each group numbers its own rows.
 Going by strata also keeps each source's words near its target.
 
@@ -55,8 +55,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     dealt = written(
         sized.withColumn("key", key)
-        .withColumn("stratum", F.length(F.bin("size")))
-        .withColumn("salt", F.substring("key", 1, 2))
+        .withColumn("stratum", F.expr("length(bin(size)) * 4 + shiftright(size * 8, length(bin(size))) % 4"))
+        .withColumn("salt", F.conv(F.substring("key", 1, 2), 16, 10).cast("int") % 64)
         .withColumn("own", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))),
         "mix",
     )
@@ -116,7 +116,7 @@ free AS (SELECT arg_min(level, ord) AS level FROM levels WHERE level * weight <=
 targets AS (
   SELECT own, source_size, coalesce(least(cap, (SELECT level FROM free) * weight), cap) AS target FROM levels),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY own ORDER BY length(bin(size)), substr(key, 1, 2), size, key, doc_id NULLS LAST) AS place,
+  SELECT *, row_number() OVER (PARTITION BY own ORDER BY length(bin(size)) * 4 + ((size * 8) >> CAST(length(bin(size)) AS BIGINT)) % 4, CAST('0x' || substr(key, 1, 2) AS BIGINT) % 64, size, key, doc_id NULLS LAST) AS place,
          CAST('0x' || substr(md5('mix-1' || own), 1, 5) AS BIGINT) / 1048576.0::DOUBLE AS u
   FROM sized),
 rated AS (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets, urls
 
 QUERIES = {
+    "op1_url_filter": urls.op1_url_filter,
     "op4_mixing": mixing.op4_mixing,
+    "op6_secrets": secrets.op6_secrets,
 }
 
 SQL = {
