@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, secrets, urls
+from . import decontamination, lines, mixing, secrets, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op6_secrets": secrets.op6_secrets,
     "op8_lines": lines.op8_lines,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 SQL = {
+    "op10_decontamination": decontamination.SQL,
     "op4_mixing": mixing.SQL,
 }
