@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, lines, mixing, secrets, urls
+from . import decontamination, language, lines, mixing, secrets, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op4_mixing": mixing.op4_mixing,
     "op6_secrets": secrets.op6_secrets,
+    "op7_language": language.op7_language,
     "op8_lines": lines.op8_lines,
     "op10_decontamination": decontamination.op10_decontamination,
 }
