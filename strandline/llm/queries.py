@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lines, mixing, secrets, urls
+from . import decontamination, language, lines, mixing, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
     "op7_language": language.op7_language,
     "op8_lines": lines.op8_lines,
