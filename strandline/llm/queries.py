@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lines, mixing, secrets, toxicity, urls
+from . import decontamination, language, lines, mixing, pii, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
+    "op2_pii": pii.op2_pii,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
