@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lines, mixing, pii, secrets, toxicity, urls
+from . import decontamination, html_text, language, lines, mixing, pii, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_language": language.op7_language,
     "op8_lines": lines.op8_lines,
+    "op9_html_text": html_text.op9_html_text,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
