@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language, lines, mixing, pii, secrets, toxicity, urls
+from . import decontamination, html_text, language, lines, mixing, near, pii, secrets, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_pii": pii.op2_pii,
+    "op3_near_duplicates": near.op3_near_duplicates,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
