@@ -86,9 +86,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
 
 def expand(docs: DataFrame, **parameters) -> DataFrame:
-    """The mixed corpus: each row of docs, once for each copy, with copy_no from 0. doc_id is the key of docs."""
-    plan = mix(docs, **parameters).select("doc_id", F.col("copies").alias("_copies")).where("_copies > 0").groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    return docs.join(plan, "doc_id").withColumn("copy_no", F.explode(F.expr("sequence(0, int(_copies) - 1)"))).drop("_copies")
+    """The mixed corpus: each row of docs, once for each copy, with copy_no from 0. Rows that share a doc_id share the most copies of one of them."""
+    plan = mix(docs, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("copy_no", F.explode(F.expr("sequence(0, int(_copies) - 1)"))).select(*docs.columns, "copy_no")
 
 
 def op4_mixing(spark, sf_dir) -> DataFrame:

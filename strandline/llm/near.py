@@ -303,10 +303,9 @@ def join(docs: DataFrame, size: int = 5, threshold: int = 80, buckets: int = 1 <
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without all but one document of each component: that of the smallest doc_id. Of rows that are equal in doc_id one stays."""
-    joined = join(docs, **parameters)
-    kept = joined.where("doc_id = root").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs without all but one document of each component: that of the smallest doc_id. Of rows with one doc_id one stays; all without a doc_id stay."""
+    kept = written(join(docs, **parameters).where("doc_id = root").select("doc_id").distinct(), "kept")
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def op3_near_duplicates(spark, sf_dir) -> DataFrame:
