@@ -5,7 +5,7 @@ score at most -0.05; tags inside the parts named below score just that. Where a
 whose class or id says advert, notice, comments and the like; else its nearest block element. One linear scan finds the contiguous
 region of the highest sum; its blocks, without those that stand in such parts, are the text. Scripts, styles and other raw text are never words.
 
-Weights are log odds of standing in the content, from at most sample_pages labelled pages (by hash of page_id, html of at most max_chars
+Weights are log odds of standing in the content, from at most sample_pages labelled pages (by hash of page_id and url, html of at most max_chars
 characters): pages with one article or main element, whose content is taken as the label. Places that the sample hasn't
 count as a few words of content, or of none for the parts above.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import bounded_sample, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 RAW = frozenset("script style noscript template svg math iframe object textarea select option canvas audio video".split())
@@ -165,9 +165,9 @@ def extract(page: str | None, weights: tuple[dict[str, float], dict[str, float],
 
 def main_text(pages: DataFrame, sample_pages: int = 500, max_chars: int = 100_000) -> DataFrame:
     """pages with _text."""
-    place = F.xxhash64(F.col("page_id").cast("string"))
-    rows = pages.where(F.length("html").between(1, max_chars)).select("html", place.alias("at")).orderBy("at", "html").limit(sample_pages).collect()
-    sent = pages.sparkSession.sparkContext.broadcast(learn([r["html"] for r in rows]))
+    usable = pages.where(F.length("html").between(1, max_chars)).select("page_id", "url", "html")
+    sample = sorted(r["html"] for r in bounded_sample(usable, sample_pages, "page_id", "url").collect())
+    sent = pages.sparkSession.sparkContext.broadcast(learn(sample))
     schema = T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
