@@ -8,7 +8,7 @@ confidence implies. The rest are matched by an inverted index: each rule is post
 the urls without a listed rule look the postings up, and a rule fires where the url has all its tokens. The firing rule
 of the highest confidence, then support, decides; where none fires, `otherwise`.
 
-Mining learns from at most sample_urls labelled urls (the first by hash) and their first max_tokens tokens; matching covers all urls
+Mining learns from about sample_urls labelled urls at most (by hash) and their first max_tokens tokens; matching covers all urls
 and all tokens.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and gets `otherwise`;
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import ascii_lower, table
+from .common import ascii_lower, bounded_sample, table
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -63,10 +63,7 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float, min_confidence: float, sample_urls: int, max_tokens: int) -> DataFrame:
     """Rules (tokens, verdict, confidence, support) from labelled (url, tokens, verdict)."""
     marks = F.concat(F.lit("verdict:"), "verdict")
-    sample = (
-        labelled.orderBy(F.xxhash64("url"), "url").limit(sample_urls)
-        .select(F.array_append(F.slice("tokens", 1, max_tokens), marks).alias("items"))
-    )
+    sample = bounded_sample(labelled, sample_urls, "url").select(F.array_append(F.slice("tokens", 1, max_tokens), marks).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sample)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("verdict:")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("verdict:"))))
     rules = found.select(
