@@ -158,39 +158,54 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
         return float(labels.mean()) if len(rows) else 0.0
     rng = np.random.default_rng(seed)
     number: defaultdict = defaultdict(count().__next__)
-    documents = [np.array([number[w] for w in tokens(text)], np.int64) for text, _ in rows]
+    documents = [np.array([number[w] for w in tokens(text)], np.int32) for text, _ in rows]
     words, n = list(number), len(number)
     in_docs = Counter(int(w) for d in documents for w in np.unique(d))
     common = [w for w in range(n) if in_docs[w] >= 3]
     model = Scorer({words[w]: k + 1 for k, w in enumerate(common)}, grams, width, hidden, window, seed)
     vocabulary = np.zeros(n, np.int64)
     vocabulary[common] = np.arange(len(common)) + 1
-    grams_of: list = [None] * n
-    for at, ids in gram_ids([w.encode() for w in words], grams).values():
-        for k, row in zip(at, ids, strict=True):
-            grams_of[k] = row
+    lengths = np.zeros(n, np.int64)
+    by_length = gram_ids([w.encode() for w in words], grams)
+    for at, ids in by_length.values():
+        lengths[at] = ids.shape[1]
+    begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    flat = np.empty(int(lengths.sum()), np.int32)
+    for at, ids in by_length.values():
+        flat[begins[at][:, None] + np.arange(ids.shape[1])] = ids
+    del by_length
+
+    def grams_in(used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Grams of words, and the place in `used` of the word of each."""
+        sizes = lengths[used]
+        take = np.repeat(begins[used] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        return flat[take], np.repeat(np.arange(len(used)), sizes)
+
     word_odds = odds(documents, labels, n)
-    gram_odds = odds([np.concatenate([grams_of[w] for w in np.unique(d)]) if len(d) else d for d in documents], labels, grams)
+    gram_odds = odds([grams_in(np.unique(d))[0] for d in documents], labels, grams)
     model.p["words"][1:, 0] = word_odds[common]
     model.p["chars"][:, 0] = gram_odds
-    looks = word_odds * (vocabulary > 0) + np.array([g.mean() for g in (gram_odds[i] for i in grams_of)])
-    lengths = np.array([len(g) for g in grams_of])
-    flat, begins = np.concatenate(grams_of), np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    looks = word_odds * (vocabulary > 0) + np.add.reduceat(gram_odds[flat], begins) / lengths
     adams = {"past": gru.Adam({k: v for k, v in model.p.items() if k not in ("words", "chars")}, 0.01), "vectors": gru.Adam({k: model.p[k] for k in ("words", "chars")}, 0.005)}
     places = [windows(len(d), window) for d in documents]
 
     def ranked() -> list[np.ndarray]:
-        vectors = model.vectors(words)
-        return model.scores(model.projected(vectors), documents)[0]
+        out = []
+        for i in range(0, len(documents), 200):
+            part = documents[i : i + 200]
+            used, ids = np.unique(np.concatenate(part), return_inverse=True)
+            cut = np.split(ids, np.cumsum([len(d) for d in part])[:-1])
+            out += model.scores(model.projected(model.vectors([words[w] for w in used])), cut)[0]
+        return out
 
     score = [np.array([looks[d[a:b]].max() for a, b in p]) for d, p in zip(documents, places, strict=True)]
     for epoch in range(epochs):
         chosen = []
         for d, p, s, y in zip(documents, places, score, labels, strict=True):
-            worst = [int(k) for k in np.argsort(-s, kind="stable")[: windows_up if y else 2]]
+            worst = [int(k) for k in np.argsort(-s, kind="stable")[: windows_up if y else 4]]
             if y and len(worst) > 1:
                 worst = worst[:1] + [k for k in worst[1:] if s[k] >= s[worst[0]] - 1]
-            picks = worst if y else {*worst, *(int(k) for k in rng.integers(0, len(p), 2))} if p else ()
+            picks = worst if y else {*worst, *(int(k) for k in rng.integers(0, len(p), 3))} if p else ()
             chosen += [(p[k][1] - p[k][0], d[p[k][0] : p[k][1]], y) for k in picks]
         by_length = defaultdict(list)
         for size, ids, y in chosen:
@@ -200,16 +215,15 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
             ids, y = np.stack([i for i, _ in batches[k]]), np.array([y for _, y in batches[k]], np.float32)
             used, ids = np.unique(ids, return_inverse=True)
             ids = ids.reshape(len(y), -1)
+            gram, of = grams_in(used)
             sizes = lengths[used]
-            take = np.repeat(begins[used] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-            of = np.repeat(np.arange(len(used)), sizes)
             chars = np.zeros((len(used), width), np.float32)
-            np.add.at(chars, of, model.p["chars"][flat[take]])
+            np.add.at(chars, of, model.p["chars"][gram])
             vectors = np.concatenate((model.p["words"][vocabulary[used]], chars / sizes[:, None].astype(np.float32)), axis=1)
             g, d_vectors = model.gradients(vectors, ids, y)
             d_words, d_chars = np.zeros_like(model.p["words"]), np.zeros_like(model.p["chars"])
             np.add.at(d_words, vocabulary[used], d_vectors[:, :width])
-            np.add.at(d_chars, flat[take], (d_vectors[:, width:] / sizes[:, None])[of].astype(np.float32))
+            np.add.at(d_chars, gram, (d_vectors[:, width:] / sizes[:, None])[of].astype(np.float32))
             adams["past"].step(g)
             adams["vectors"].step({"words": d_words, "chars": d_chars})
         for a in adams.values():
@@ -234,13 +248,13 @@ def score(
     labels: DataFrame,
     label: str = "toxic",
     may_learn: Column | None = None,
-    per_class: int = 2500,
-    max_chars: int = 20_000,
+    per_class: int = 1800,
+    max_chars: int = 8_000,
     grams: int = 1 << 14,
     width: int = 8,
     hidden: int = 12,
     window: int = 32,
-    epochs: int = 4,
+    epochs: int = 5,
     windows_up: int = 2,
     kept_words: int = 150_000,
     seed: int = 5,
