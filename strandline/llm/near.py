@@ -36,11 +36,12 @@ from pyspark.sql import types as T
 
 from ..session import written
 from .common import table
-from .components import components
+from ..operators.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FINISH = np.uint64(0xBF58476D1CE4E5B9)
 BITS = 512
+FIRST = 8
 MAX_WIDE = 8192
 
 
@@ -70,24 +71,29 @@ def shingle_hashes(text: str | None, hashes: WordHashes, size: int) -> np.ndarra
     return h
 
 
+#: Only shingles with a hash under this can come into a prefix, but for few: the sketch counts these.
+COUNTED = np.uint64(int(0.3 * 2**64))
+
+
 def crowded(docs: DataFrame, size: int, buckets: int) -> np.ndarray:
     """Level of each bucket of hashes: 0, or more the more shingles over the usual number fall in it. Counts all texts; of fixed size."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    last = np.uint64(buckets - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(buckets, np.int64), WordHashes()
         for batch in batches:
             for t in batch.column("text"):
-                np.add.at(total, (shingle_hashes(t.as_py(), hashes, size) >> shift).astype(np.int64), 1)
+                h = shingle_hashes(t.as_py(), hashes, size)
+                np.add.at(total, (h[h < COUNTED] & last).astype(np.int64), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bucket", "n"])
 
     n = np.zeros(buckets, np.float64)
-    for r in docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most `buckets` rows
-        n[r["bucket"]] = r["n"]
+    sums = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most `buckets` rows
+    n[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     usual = np.median(n)
-    over = np.maximum((n - usual) / (6 * np.sqrt(usual) + 32), 1e-9)
-    return np.where(over > 1, np.minimum(15, 1 + np.floor(np.log2(np.maximum(over, 1)))), 0).astype(np.uint64)
+    over = np.maximum((n - usual) / (3 * np.sqrt(usual) + 8), 1e-9)
+    return np.where(over > 1, np.minimum(15, 1 + np.floor(np.log2(np.maximum(over, 1)))), 0).astype(np.uint8)
 
 
 def bitmap(h: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +112,7 @@ LONGS = T.ArrayType(T.LongType())
 def signatures(docs: DataFrame, size: int, threshold: int, buckets: int) -> DataFrame:
     """doc_id, n, fp (of the set), prefix, bits, wide for each row."""
     sent = docs.sparkSession.sparkContext.broadcast(crowded(docs, size, buckets))
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    last = np.uint64(buckets - 1)
     key = docs.schema["doc_id"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +127,7 @@ def signatures(docs: DataFrame, size: int, threshold: int, buckets: int) -> Data
                         x.append(None)
                     continue
                 p = len(h) + (-threshold * len(h)) // 100 + 1
-                order = (level[(h >> shift).astype(np.int64)] << np.uint64(60)) | (h >> np.uint64(4))
+                order = (level[(h & last).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (h >> np.uint64(4))
                 first = np.sort(np.partition(order, p - 1)[:p]) if p < len(order) else np.sort(order)
                 fp.append(fingerprint(h))
                 prefix.append(first.view(np.int64))
@@ -216,11 +222,14 @@ def candidates(live: DataFrame, found: DataFrame, reps: DataFrame, threshold: in
     mixed = tied.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
     parts = F.ceil(F.col("df") / block).cast("long")
     own = F.when(F.col("df") > block, F.pmod(F.xxhash64("rep"), parts)).otherwise(F.lit(0).cast("long"))
+    held = written(tied.join(mixed, "token"), "held")
+    # A class's smallest blocks (at most as many as its prefix is long are gathered): a pair that shares one of these is left to the smallest it shares.
+    smallest = held.groupBy("rep").agg(F.slice(F.concat(F.array_sort(F.collect_list("token")), F.array_repeat(F.lit(0).cast("long"), FIRST)), 1, FIRST).alias("first"))
     rows = (
-        tied.join(mixed, "token").join(reps.select("rep", "bits"), "rep")
+        held.join(reps.select("rep", "bits").join(smallest, "rep"), "rep")
         .withColumns({"part": own, "parts": parts})
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("df") > block, F.col("parts") - 1).otherwise(F.lit(0).cast("long")))))
-        .select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "n", "root", "bits")
+        .select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "n", "root", "bits", "first")
     )
     key = ["token", "p", "q"]
 
@@ -229,9 +238,19 @@ def candidates(live: DataFrame, found: DataFrame, reps: DataFrame, threshold: in
         keys = np.stack([column(c) for c in key], axis=1)
         n, root, part, rep = (column(c) for c in ("n", "root", "part", "rep"))
         bits = rows.column("bits").combine_chunks().flatten().to_numpy().reshape(len(rows), -1).view(np.uint64)
+        first = rows.column("first").combine_chunks().flatten().to_numpy().reshape(len(rows), FIRST)
         group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))))
         sizes = np.bincount(group)
         few = sizes[group] <= 32
+
+        def elsewhere(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Pairs that share a smaller shingle, so that its block has them too."""
+            out = np.zeros(len(x), bool)
+            for i in range(0, len(x), 50_000):
+                f, g = first[x[i : i + 50_000]], first[y[i : i + 50_000]]
+                out[i : i + 50_000] = ((f[:, :, None] == g[:, None, :]) & (f != 0)[:, :, None] & (f < keys[x[i : i + 50_000], :1])[:, :, None]).any(axis=(1, 2))
+            return out
+
         a, b = [], []
         # Small blocks are trees of a single node: members are compared with those that follow, all blocks at once.
         for d in range(1, 32):
@@ -243,14 +262,17 @@ def candidates(live: DataFrame, found: DataFrame, reps: DataFrame, threshold: in
             x, y = x[on], y[on]
             overlap = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
             on = ((100 + threshold) * overlap >= threshold * (n[x] + n[y])) & ((keys[x, 1] == keys[x, 2]) | (part[x] != part[y]))
+            x, y = x[on], y[on]
+            on = ~elsewhere(x, y)
             a.append(rep[x[on]])
             b.append(rep[y[on]])
         begins = np.concatenate(([0], np.cumsum(sizes)))
         for g in np.flatnonzero(sizes > 32):
             s = slice(begins[g], begins[g + 1])
             x, y = tree_pairs(n[s], root[s], part[s], bits[s], threshold, keys[begins[g], 1] != keys[begins[g], 2])
-            a.append(rep[s][x])
-            b.append(rep[s][y])
+            on = ~elsewhere(x + begins[g], y + begins[g])
+            a.append(rep[s][x[on]])
+            b.append(rep[s][y[on]])
         none = np.zeros(0, np.int64)
         a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
         return np.minimum(a, b), np.maximum(a, b)
@@ -277,10 +299,16 @@ def candidates(live: DataFrame, found: DataFrame, reps: DataFrame, threshold: in
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long").distinct()
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(search, "a long, b long")
+
+
+def heads_of(live: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class and the smallest and the largest member of its blocks: two a row of live at most, however large a block is."""
+    pairs = live.select(F.col("head").alias("a"), F.col("rep").alias("b")).union(live.select(F.col("rep").alias("a"), F.col("tail").alias("b")))
+    return pairs.where("a <> b").distinct()
 
 
-def join(docs: DataFrame, size: int = 5, threshold: int = 80, buckets: int = 1 << 16, block: int = 2048, send_rows: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, threshold: int = 80, buckets: int = 1 << 18, block: int = 2048, send_rows: int = 500_000) -> DataFrame:
     """doc_id, n (size of the set), rep (the smallest doc_id of the same set), root (the smallest doc_id reachable) for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signatures(docs, size, threshold, buckets), "signed")
@@ -289,11 +317,11 @@ def join(docs: DataFrame, size: int = 5, threshold: int = 80, buckets: int = 1 <
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("head"), F.max("rep").alias("tail")).where("df > 1")
     live = written(tokens.join(shared, "token"), "live")
-    heads = live.select(F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("tail").alias("b")))).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
+    heads = heads_of(live)
     heads = written(heads, "heads")
     first = proved(heads, reps, docs, size, threshold, send_rows)
     found = components(first)
-    rest = candidates(live, found, reps, threshold, block).join(heads, ["a", "b"], "left_anti")
+    rest = candidates(live, found, reps, threshold, block).distinct().join(heads, ["a", "b"], "left_anti")
     second = proved(rest, reps, docs, size, threshold, send_rows)
     if not second.isEmpty():
         found = components(first.unionByName(second))
