@@ -151,8 +151,8 @@ def odds(documents: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
     return np.log(p / (1 - p)) - np.log(share / (1 - share))
 
 
-def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, window: int, epochs: int, windows_up: int, seed: int) -> Scorer | float:
-    """A scorer from (text, label), or the share of label 1 where one label is missing."""
+def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, window: int, epochs: int, windows_up: int, seed: int, least_steps: int = 300) -> Scorer | float:
+    """A scorer from (text, label), or the share of label 1 where one label is missing. Few rows are gone over more often, for least_steps steps in all."""
     labels = np.array([y for _, y in rows], np.int64)
     if not len(rows) or labels.min() == labels.max():
         return float(labels.mean()) if len(rows) else 0.0
@@ -199,7 +199,9 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
         return out
 
     score = [np.array([looks[d[a:b]].max() for a, b in p]) for d, p in zip(documents, places, strict=True)]
-    for epoch in range(epochs):
+    steps, epoch = 0, 0
+    while epoch < epochs or steps < least_steps:
+        epoch += 1
         chosen = []
         for d, p, s, y in zip(documents, places, score, labels, strict=True):
             worst = [int(k) for k in np.argsort(-s, kind="stable")[: windows_up if y else 4]]
@@ -211,6 +213,7 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
         for size, ids, y in chosen:
             by_length[size].append((ids, y))
         batches = [[group[k] for k in part] for group in by_length.values() for part in np.array_split(rng.permutation(len(group)), -(-len(group) // 128))]
+        steps += len(batches)
         for k in rng.permutation(len(batches)):
             ids, y = np.stack([i for i, _ in batches[k]]), np.array([y for _, y in batches[k]], np.float32)
             used, ids = np.unique(ids, return_inverse=True)
@@ -227,7 +230,7 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
             adams["past"].step(g)
             adams["vectors"].step({"words": d_words, "chars": d_chars})
         for a in adams.values():
-            a.rate *= 0.7
+            a.rate *= 0.7 ** min(1.0, len(batches) * epochs / least_steps)
         score = ranked()
     return model
 

@@ -1,0 +1,289 @@
+"""The operators against brute force, and at their edges."""
+
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from strandline.llm import decontamination, fmindex, gru, html_text, language, lines, mixing, near, pii, secrets, toxicity, urls
+from strandline.llm.common import ascii_lower
+from strandline.llm.queries import QUERIES, SQL
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, bits string, tokens string, _spans_ string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def words(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(WORDS) + str(rng.integers(0, 50)) for _ in range(n))
+
+
+def table(spark, texts, **more):
+    return spark.createDataFrame([(k, t, "en", f"s{k % 3}" if k else None, len(t or ""), "x", "y", "z") for k, t in texts], DOCS)
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, a null id."""
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, "a"), (3, "a"), (None, "some text here"), (4, "😀 Ünïcode " * 5), (5, "x" * 200_000), (6, words(1, 30_000)), (7, words(1, 30_000))]
+    return table(spark, rows)
+
+
+def test_names():
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda d, s: urls.judge(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.lit("h").alias("host"))),
+        lambda d, s: pii.find(d, sample_docs=20, planted=300),
+        lambda d, s: pii.redact(d, sample_docs=20, planted=300),
+        lambda d, s: near.join(d),
+        lambda d, s: mixing.mix(d),
+        lambda d, s: toxicity.score(d, s.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int")),
+        lambda d, s: secrets.scan(d.withColumnsRenamed({"bits": "other"})),
+        lambda d, s: language.identify(d, per_language=5, max_words=500, epochs=1),
+        lambda d, s: lines.judge(d),
+        lambda d, s: html_text.main_text(d.select(F.col("doc_id").alias("page_id"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("html"), "bits")),
+        lambda d, s: decontamination.judge(d, s.createDataFrame([(1, "a"), (2, None), (3, "")], "item_id long, text string")),
+    ],
+)
+def test_edges_and_empty_tables(spark, edges, run):
+    assert run(edges, spark).count() == edges.count()
+    assert run(edges.limit(0), spark).count() == 0
+
+
+def test_filters_keep_columns(spark, edges):
+    benchmark = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    for out in (near.keep_one(edges), decontamination.clean(edges, benchmark), secrets.redact(edges), lines.clean(edges)):
+        assert out.columns == edges.columns
+        out.count()
+    assert near.keep_one(edges).count() == 8  # one of the two equal rows, one of the two equal texts
+
+
+def test_url_rules(spark):
+    rows = [(1, "HTTP://Foo.Example.COM/en/x?a#b", "example.com/en/", "block"), (2, "http://www.example.com/en/", "www.example.com/en/", "allow"), (3, "x://y.net/es/q", "net/es/", "block"), (4, "no scheme", None, "allow"), (5, "http://a.com", None, "allow")]
+    out = urls.judge(spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")).collect()
+    got = {r.page_id: (r.rule, r.verdict) for r in out}
+    assert all(got[k][0] == rule for k, _, rule, _ in rows) and all(got[k][1] == v for k, _, rule, v in rows if rule)
+
+
+def test_url_mining(spark):
+    rows = [(k, f"http://h{k % 7}.example.com/en/{k}") for k in range(60)] + [(k, f"http://h{k % 7}.other.com/de/{k}") for k in range(60, 120)] + [(200, "http://q.org/en/7"), (201, "http://q.org/de/7")]
+    got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.05).collect()}
+    assert got[200] == ("block", "path:en") and got[201][0] == "allow"
+
+
+def brute_secrets(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 8]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return [(k, a, b) for a, _, b, k in sorted(out)]
+
+
+def test_secrets(spark):
+    texts = ['é😀 password: "abcdefgh1" and TOKEN=abc token:12345678', "password: token: abcdefghij", "AKIA" + "A1" * 8 + " " + "0af" * 12, "see aB3xK9qLmZ7pR2tYvW8n here", "an EXAMPLEaB3xK9qLmZ7pR2tYvW8n", "nothing"]
+    out = secrets.scan(table(spark, enumerate(texts))).orderBy("doc_id").collect()
+    assert [[tuple(s) for s in r["base"]] for r in out] == [brute_secrets(t) for t in texts]
+    assert [tuple(s) for s in out[3]["spans"]] == [("entropy", 4, 24)] and not out[4]["spans"]
+    assert secrets.redact(table(spark, [(1, texts[3])])).first()["text"] == "see [SECRET] here"
+
+
+def test_entropy_counts_are_those_of_the_window(spark):
+    run = "aB3xK9qLmZ7pR2tYvW8naaaa1111bbbb2222"
+    got = spark.range(1).select(secrets.peak_entropy(F.lit(run), 20).alias("e")).first()["e"]
+    plain = max(-sum(c / 20 * np.log2(c / 20) for c in Counter(run[i : i + 20]).values()) for i in range(len(run) - 19))
+    assert got == pytest.approx(plain)
+
+
+def test_pii_base_and_added(spark):
+    redactor = pii.Redactor([words(k, 40) + " a.b@c.org 4041894974608795 +1 (988) 555-2485 10.0.0.1" for k in range(30)], 3000, 0.95, 1)
+    base, spans = redactor.spans("mail a.b@c.org, 300.1.1.1 10.0.0.1 card 4041894974608795 no 4041894974608796 +1 (988) 555-2485 😀")
+    assert [k for k, _, _ in base] == ["email", "ip", "card", "phone"] and set(base) <= set(spans)
+    assert [k for k, _, _ in redactor.spans("write to joe at mail dot com now")[1]] == ["email"]
+    assert redactor.spans("on 2024-01-02 version 1.2.3")[1] == []
+
+
+def test_mixing(spark):
+    docs = table(spark, [(k, words(k, 1 + k % 40)) for k in range(600)])
+    out = mixing.mix(docs).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+        assert 0 <= r.copies <= 2 and r.taken == r.copies * r.size
+    total = sum(r.size for r in out)
+    assert sum(v[0].target for v in by.values()) == pytest.approx(1.5 * total)
+    for v in by.values():
+        assert v[0].target <= 2 * v[0].source_size + 1e-6 and abs(sum(r.taken for r in v) - v[0].target) < 0.05 * v[0].target + 80
+    assert {tuple(r) for r in mixing.mix(docs.repartition(7)).collect()} == {tuple(r) for r in out}
+    assert mixing.expand(docs).count() == sum(r.copies for r in out)
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(25):
+        base = words(g, int(rng.integers(1, 120))).split()
+        for _ in range(int(rng.integers(1, 7))):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 1 + len(w) // 25))):
+                w[int(rng.integers(0, len(w)))] = "edit" + str(rng.integers(0, 9))
+            texts.append(" ".join(w))
+    passage = words(999, 60)
+    texts += [passage + " " + words(2000 + k, 15) for k in range(40)] + ["Same TEXT here", "same text here", None, "", "  "]
+    docs = table(spark, enumerate(texts))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    for parameters in ({}, {"block": 4, "buckets": 1 << 10}, {"send_rows": 0}):
+        got = {r.doc_id: (r.n, r.root) for r in near.join(docs, **parameters).collect()}
+        assert got == {k: (len(sets[k]), root[k]) for k in range(len(texts))}
+
+
+def test_tree_pairs_lose_nothing():
+    rng = np.random.default_rng(5)
+    sets = [set(rng.choice(400, 60, replace=False)) for _ in range(40)]
+    sets += [set(list(s)[2:] + [1000 + k]) for k, s in enumerate(sets)]
+    bits = np.zeros((len(sets), 8), np.uint64)
+    for k, s in enumerate(sets):
+        for x in s:
+            bits[k, x % 512 >> 6] |= np.uint64(1) << np.uint64(x % 64)
+    n, own = np.array([len(s) for s in sets]), np.arange(len(sets))
+    x, y = near.tree_pairs(n, own, own, bits, 80, False)
+    found = {frozenset(p) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert {frozenset((i, j)) for i in own for j in own if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} <= found
+
+
+def test_fm_index_against_scan():
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 60):
+        for v in (1, 3):
+            docs = [rng.integers(1, v + 1, rng.integers(0, n + 1)) for _ in range(4)]
+            docs.append(docs[0])
+            index = fmindex.FMIndex(docs, v, 4)
+            text = [w for d in docs for w in [*d.tolist(), 0]]
+            for m in (1, 2, 3):
+                phrases = rng.integers(1, v + 1, (6, m))
+                which, low, high = index.search(phrases)
+                got = {int(k): sorted(index.locate(np.arange(a, b)).tolist()) for k, a, b in zip(which, low, high, strict=True)}
+                for k, p in enumerate(phrases.tolist()):
+                    assert got.get(k, []) == [j for j in range(len(text) - m + 1) if text[j : j + m] == p]
+
+
+def test_decontamination(spark):
+    item = words(50, 14)
+    docs = table(spark, [(1, f"{words(1, 8)} {item.upper()}! {words(2, 8)}"), (2, words(3, 30)), (3, "short item"), (4, item)])
+    benchmark = spark.createDataFrame([(7, item), (8, "Short, item"), (9, item)], "item_id long, text string")
+    for parameters in ({}, {"block_windows": 2, "shard_words": 20}):
+        got = {r.doc_id: ([tuple(s) for s in r["_spans"]], r["_items"]) for r in decontamination.judge(docs, benchmark, **parameters).collect()}
+        assert got == {1: ([(8, 22)], ["7", "9"]), 2: ([], []), 3: ([(0, 2)], ["8"]), 4: ([(0, 14)], ["7", "9"])}
+    cleaned = {r.doc_id: r.text for r in decontamination.clean(docs, benchmark).collect()}
+    assert cleaned[2] == words(3, 30) and item.upper() not in cleaned[1] and words(2, 8) in cleaned[1] and set(cleaned) == {1, 2}
+
+
+def test_line_rules(spark):
+    w = words(9, 12)
+    texts = [f"{w} {w} {w}", words(8, 40), "a\nb\na\n \nA"] + [f"shared line of text number one\n{words(100 + k, 30)}\n{words(200 + k, 3)}" for k in range(8)] + ["shared line of text number one\nsmall rest\n" + "many more words " * 5]
+    docs = table(spark, enumerate(texts)).withColumn("source", F.lit("h"))
+    got = {r.doc_id: r for r in lines.judge(docs, max_docs=5).collect()}
+    for k, t in enumerate(texts):
+        tokens = t.split()
+        seen = Counter(tuple(tokens[i : i + 8]) for i in range(len(tokens) - 7))
+        hit = {j for i in range(len(tokens) - 7) if seen[tuple(tokens[i : i + 8])] > 1 for j in range(i, i + 8)}
+        own = [x for x in t.split("\n") if x.strip()]
+        assert (got[k].n_words, got[k].word_chars, got[k].n_dup_lines, got[k].n_repeat_words) == (len(tokens), sum(map(len, tokens)), len(own) - len(set(own)), len(hit))
+    assert got[4].removed_words == 6 and got[4].kept and not got[0].kept
+    assert "shared line" not in {r.doc_id: r.text for r in lines.clean(docs, max_docs=5).collect()}[4]
+
+
+def test_html():
+    page = '<html><head><title>T</title><script>x="<p>";</script></head><body><nav><a>home</a></nav><div class="ad">Buy now</div><article><h1>Head</h1><p>one  two &amp; <b>three</b><p>four<br>five<ul><li>item</ul><aside>not this</aside></article><div class="comments"><p>nice post</p></div><footer>&copy;</footer></body></html>'
+    weights = html_text.learn([page] * 3)
+    assert html_text.extract(page, weights) == "Head\n\none two & three\n\nfour five\n\nitem"
+    assert html_text.extract(None, weights) == html_text.extract("<p>", weights) == ""
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        s = rng.integers(-3, 4, 12).tolist()
+        a, b = html_text.best_region(s)
+        assert sum(s[a:b]) == max([0] + [sum(s[i:j]) for i in range(12) for j in range(i + 1, 13)])
+
+
+def test_recurrent_gradients():
+    tagger = language.ByteTagger(["a", "b"], 4, 24, 0)
+    tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
+    rng = np.random.default_rng(0)
+    rows, label = rng.integers(0, 256, (3, 5)).astype(np.uint8), np.array([0, 1, 1])
+    loss = lambda: float(-np.log(tagger.probabilities(rows)[0][:, np.arange(3), label]).sum() / 15)
+    g = tagger.gradients(rows, label, np.ones(3))
+    for k in ("uf", "ub", "o", "c"):
+        at = tuple(rng.integers(0, s) for s in tagger.p[k].shape)
+        old = tagger.p[k][at]
+        tagger.p[k][at] = old + 1e-3
+        up = loss()
+        tagger.p[k][at] = old - 1e-3
+        down = loss()
+        tagger.p[k][at] = old
+        assert g[k][at] == pytest.approx((up - down) / 2e-3, abs=1e-5)
+    assert gru.sigmoid(np.float32(0)) == 0.5
+
+
+def test_language_held_out(spark):
+    vocab = {"en": "the of and with this that from have were which".split(), "de": "der die das und nicht ein mit für auf ist".split(), "fr": "le la les des une que dans pour avec est".split()}
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(vocab[l], 40)), l) for k, l in enumerate(list(vocab) * 40)] + [(500, "123 !", "en"), (501, None, "en")], "doc_id long, text string, lang string")
+    out = language.identify(docs, F.col("doc_id") % 2 == 0, per_language=40, max_words=2000, epochs=3).collect()
+    assert all(r["_lang"] == r.lang for r in out if r.doc_id < 500 and r.doc_id % 2) and {r["_lang"] for r in out if r.doc_id >= 500} == {"und"}
+
+
+def toxic_corpus(spark, n=240):
+    bad = "vilewort vilemann grubble grubbly".split()
+    rows = [(k, words(k, 90) + (f" {bad[k % 4]} " if k % 3 == 0 else " ") + words(7000 + k, 30)) for k in range(n)]
+    return table(spark, rows), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(n)], "doc_id long, toxic int")
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = toxic_corpus(spark, 900)
+    out = toxicity.score(docs, labels, may_learn=F.col("doc_id") % 5 != 0).where("doc_id % 5 = 0").collect()
+    assert np.mean([(r["_score"] >= 0.5) == (r.doc_id % 3 == 0) for r in out]) >= 0.95
+
+
+def test_windows_cover_and_overlap():
+    for n in range(0, 140):
+        covered = Counter(i for a, b in toxicity.windows(n, 32) for i in range(a, b))
+        assert sorted(covered) == list(range(n))
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs, labels = toxic_corpus(spark)
+    item = words(5555, 12)
+    extra = [(1000, words(1, 120)), (1001, words(1, 119)), (1002, words(4000, 40) + " " + item), (1003, words(4001, 40) + ' token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"')]
+    docs = docs.unionByName(table(spark, extra))
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", spark.createDataFrame([(1, item)], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    texts = {}
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, corpus_pipeline.written(stage(spark, now, str(tmp_path)), name)
+        texts[name] = {r.doc_id: r.text for r in now.collect()}
+        assert name == "mixing" or now.columns == before.columns
+    assert 1000 in texts["toxicity"] and len([k for k in texts["toxicity"] if k < 240 and k % 3 == 0]) <= 8
+    assert 1000 in texts["near_duplicates"] and 1001 not in texts["near_duplicates"]
+    assert item not in texts["decontamination"][1002] and texts["decontamination"][1002].startswith(words(4000, 40))
+    assert texts["secrets"][1003] == words(4001, 40) + ' [SECRET]"' and texts["secrets"][1000] == words(1, 120)
+    assert set(texts["mixing"]) <= set(texts["secrets"])
+
+
+def test_ascii_lower(spark):
+    assert spark.range(1).select(ascii_lower(F.lit("AbÉİ")).alias("x")).first()["x"] == "abÉİ"
