@@ -183,6 +183,16 @@ def proved(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, thresh
     return written(may.join(of("a"), "a").join(of("b"), "b").where(100 * common >= threshold * (F.size("h_a") + F.size("h_b") - common)).select("a", "b"), "links")
 
 
+def counted_bits(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, without: bool = False, slice_rows: int = 65_536) -> np.ndarray:
+    """Bits that rows x of p have, and rows y of q too (or, without, have not), in slices: as many pairs as there are take little memory."""
+    out = np.empty(len(x), np.int64)
+    for i in range(0, len(x), slice_rows):
+        s = slice(i, i + slice_rows)
+        other = q[y[s]]
+        out[s] = np.bitwise_count(p[x[s]] & (~other if without else other)).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def tree_pairs(n: np.ndarray, component: np.ndarray, part: np.ndarray, bits: np.ndarray, threshold: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members of a block, of different components, that may link: by descending a signature tree twice at once."""
     order = np.lexsort((n, component))
@@ -202,12 +212,12 @@ def tree_pairs(n: np.ndarray, component: np.ndarray, part: np.ndarray, bits: np.
         on = ~((c_low[x] == c_high[y]) & (c_high[x] == c_low[y]) & (c_low[x] == c_high[x]))
         on &= (100 * high[x] >= threshold * low[y]) & (100 * high[y] >= threshold * low[x])
         x, y = x[on], y[on]
-        overlap = np.bitwise_count(ors[x] & ors[y]).sum(axis=1, dtype=np.int64) + np.minimum(most[x], most[y])
+        overlap = counted_bits(ors, x, ors, y) + np.minimum(most[x], most[y])
         on = (100 + threshold) * overlap >= threshold * (low[x] + low[y])
         x, y = x[on], y[on]
     on = x != y
     x, y = x[on], y[on]
-    overlap = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
+    overlap = np.minimum(n[x] - counted_bits(bits, x, bits, y, True), n[y] - counted_bits(bits, y, bits, x, True))
     on = (100 + threshold) * overlap >= threshold * (n[x] + n[y])
     x, y = order[x[on]], order[y[on]]
     if across:
@@ -260,7 +270,7 @@ def candidates(live: DataFrame, found: DataFrame, reps: DataFrame, threshold: in
             y = x + d
             on = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
             x, y = x[on], y[on]
-            overlap = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64), n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
+            overlap = np.minimum(n[x] - counted_bits(bits, x, bits, y, True), n[y] - counted_bits(bits, y, bits, x, True))
             on = ((100 + threshold) * overlap >= threshold * (n[x] + n[y])) & ((keys[x, 1] == keys[x, 2]) | (part[x] != part[y]))
             x, y = x[on], y[on]
             on = ~elsewhere(x, y)
