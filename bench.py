@@ -9,7 +9,7 @@ import time
 from strandline.queries import QUERIES
 from strandline.session import local_session
 
-HEADLINE = ["kmer_spectrum", "panel_count", "depth_estimate", "gc_window", "inner_merge", "reference_hit_filter", "present_minus_absent", "track_components", "mix_intersection", "genotype_calls"]
+HEADLINE = ["kmer_spectrum", "inner_merge", "cigar_clips", "present_minus_absent", "common_kmers", "mix_intersection"]
 
 
 def main() -> None:
