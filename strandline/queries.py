@@ -93,12 +93,15 @@ def reference_hit_filter(spark, sf) -> DataFrame:
     return locate.hits(own, located).withColumn("kept", F.col("hits") <= 3)
 
 
-def _named(spark, sf) -> DataFrame:
-    own, located = _own(spark, sf)
+def _relabelled(own: DataFrame, located: DataFrame) -> DataFrame:
     few = located.join(locate.hits(own, located).where("hits <= 3").select("kmer"), "kmer", "left_semi")
     return written(locate.relabelled(few, own), "named")
 
 
+def _named(spark, sf) -> DataFrame:
+    return _relabelled(*_own(spark, sf))
+
+
 def interest_masks(spark, sf) -> DataFrame:
     return locate.interest_masks(_named(spark, sf))
 
@@ -141,14 +144,17 @@ def _panel(spark, sf):
 
 
 def _expected(spark, sf):
-    """The parts of the likelihood of deletions' k-mers, counted without masks."""
-    own = _own(spark, sf)[0]
-    named = _named(spark, sf).withColumns({"trend": F.lit(False), "ord": F.struct("chrom", "pos")})
-    tracks = own.join(named.select("kmer").distinct(), "kmer", "left_semi")
-    totals = counting.count_panel(fx.reads(spark, sf), tracks)
-    seen = written(totals.select("kmer", F.lit("INNER").alias("type"), F.lit(False).alias("inverse"), F.col("total").alias("count"), "total"), "seen")
-    coverage, std, _ = depth.estimate(panel_count(spark, sf))
-    return seen, tracks, named, written(gc_depth(spark, sf), "gc_depth"), coverage, std
+    """The parts of the likelihood of deletions' k-mers, counted without masks. One scan of the reads counts the k-mers of all panels."""
+    own, located = _own(spark, sf)
+    named = _relabelled(own, located).withColumns({"trend": F.lit(False), "ord": F.struct("chrom", "pos")})
+    tracks = written(own.join(named.select("kmer").distinct(), "kmer", "left_semi"), "tracks")
+    deep, gc = written(fx.depth_panel(spark, sf), "depth_panel"), written(fx.gc_panel(spark, sf), "gc_panel")
+    wanted = deep.select("kmer").union(gc.select("kmer")).union(tracks.select("kmer"))
+    totals = written(counting.count_panel(fx.reads(spark, sf), wanted), "totals")
+    seen = totals.join(tracks.select("kmer").distinct(), "kmer", "left_semi")
+    seen = seen.select("kmer", F.lit("INNER").alias("type"), F.lit(False).alias("inverse"), F.col("total").alias("count"), "total")
+    coverage, std, _ = depth.estimate(totals.join(deep, "kmer", "left_semi"))
+    return seen, tracks, named, depth.by_gc(totals.join(gc, "kmer"), coverage), coverage, std
 
 
 def kmer_likelihood(spark, sf) -> DataFrame:
