@@ -13,7 +13,8 @@ Words are runs of digits, a-z after lower-casing A-Z, and characters above 0x7F.
 `window` words; a shorter item is one window.
 
 Defined results: null or empty text has no words, no hits and stays as it is; repeated rows each get a row; null or empty benchmark texts have
-no windows; an empty table or benchmark gives no hits; a document of over shard_words words is a shard of its own.
+no windows; an empty table or benchmark gives no hits; a document of over shard_words words is a shard of its own. Items with a null item_id are searched
+like others: together they count as one item of n_items, which has no part in items_sha256.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
-    """phrase (words, joined by spaces) and items (distinct item_ids that have it)."""
+    """phrase (words, joined by spaces), items (distinct item_ids that have it) and unnamed (whether an item without item_id has it)."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -54,7 +55,12 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["item_id", "phrase"])
 
     cut_up = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, "item_id string, phrase string")
-    return cut_up.where("item_id is not null").groupBy("phrase").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return cut_up.groupBy("phrase").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.bool_or(F.col("item_id").isNull()).alias("unnamed"))
+
+
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Sorted, None last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
 
 
 class Phrases:
@@ -65,7 +71,7 @@ class Phrases:
         by_length = defaultdict(list)
         for r in rows:
             w = r["phrase"].encode().split(b" ")
-            by_length[len(w)].append(([place.setdefault(x, len(place)) for x in w], r["items"]))
+            by_length[len(w)].append(([place.setdefault(x, len(place)) for x in w], [*r["items"], None] if r["unnamed"] else r["items"]))
         self.words = list(place)
         self.groups = [(m, np.array([p for p, _ in g], np.int64), [i for _, i in g]) for m, g in sorted(by_length.items())]
 
@@ -87,11 +93,11 @@ class Shard:
         return FMIndex(self.documents, len(self.number))
 
 
-def hits(index: FMIndex, number: dict, phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str]]]:
+def hits(index: FMIndex, number: dict, phrases: Phrases) -> tuple[list[list[tuple[int, int]]], list[set[str | None]]]:
     """For each document of the index: merged spans of words, and the items found in it."""
     n_docs = len(index.starts) - 1
     change = np.zeros(index.n + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(n_docs)]
+    items: list[set[str | None]] = [set() for _ in range(n_docs)]
     own = np.array([number.get(w, 0) for w in phrases.words], np.int64)
     for length, rows, names in phrases.groups:
         which, low, high = index.search(own[rows])
@@ -151,7 +157,7 @@ def blocks(phrases: DataFrame, block_windows: int) -> list[DataFrame]:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000, block_windows: int = 500_000) -> DataFrame:
-    """docs with _n_words, _spans (merged, of words) and _items (item_ids found, sorted)."""
+    """docs with _n_words, _spans (merged, of words) and _items (item_ids found, sorted; a null last for items without one)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     phrases = written(windows_of(benchmark, window), "windows")
@@ -159,7 +165,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words:
     schema = T.StructType([*docs.schema.fields, *found])
 
     def answered(rows: pa.Table, n_words, spans, items) -> Iterator[pa.RecordBatch]:
-        more = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS_ARROW), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+        more = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS_ARROW), pa.array([in_order(i) for i in items], pa.list_(pa.string()))]
         for field, column in zip(found, more, strict=True):
             rows = rows.append_column(field.name, column)
         yield from rows.to_batches()
@@ -193,7 +199,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words:
                     _, fm, number = pickle.loads(row["index"])
                     spans, items = hits(fm, number, sent.value)
                     spans = [merged([(x["start"], x["end"]) for x in a] + b) for a, b in zip(row["spans"], spans, strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(row["items"], items, strict=True)]
+                    items = [in_order({*a, *b}) for a, b in zip(row["items"], items, strict=True)]
                     spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
                     yield pa.RecordBatch.from_arrays([pa.array([row["rows"]], pa.binary()), pa.array([row["index"]], pa.binary()), pa.array([spans], pa.list_(SPANS_ARROW)), pa.array([items], pa.list_(pa.list_(pa.string())))], names=kept.names)
 
