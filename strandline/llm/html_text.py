@@ -2,8 +2,10 @@
 
 A page is read as a row of tokens: text nodes, whose words each score the weight of where they stand, and tags, which
 score at most -0.05; tags inside the parts named below score just that. Where a word stands is its nearest enclosing part of a menu, header, footer, sidebar, form, or an element
-whose class or id says advert, notice, comments and the like; else its nearest block element. One linear scan finds the contiguous
-region of the highest sum; its blocks, without those that stand in such parts, are the text. Scripts, styles and other raw text are never words.
+whose class or id says advert, notice, comments and the like; else its nearest block element. No such name makes a part of an element that is the page, its article
+or main element, or that holds body, main or the page's first article; nor does one that says what a page has or lacks (no-sidebar). One linear scan finds the contiguous
+region of the highest sum; its blocks, without those that stand in such parts, are the text. A page without a region is read again with these
+class and id names taken for nothing. Scripts, styles and other raw text are never words.
 
 Weights are log odds of standing in the content, from at most sample_pages labelled pages (by hash of page_id and url, html of at most max_chars
 characters): pages with one article or main element, whose content is taken as the label. Places that the sample hasn't
@@ -40,16 +42,37 @@ APART = frozenset("nav header footer aside form menu button label legend fieldse
 #: Elements that hold a page or its content as a whole.
 WHOLE = frozenset("html head body article main".split())
 CUE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?\b(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|comments?|respond|replies|sidebar|menu|nav\w*|navigation|breadcrumbs?|header|footer|related|pagination)\b")
+#: Names of a page's layout, which say what it has or lacks beside its content.
+LAYOUT = re.compile(r"(?i)\b(?:no|has|have|with|without|hide|show)[-_]+(?:[a-z0-9]+[-_]+)*[a-z0-9]+")
 #: An element that ends when one of these begins.
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
-def read(page: str) -> list[tuple[str, str, str]]:
-    """(tag, name, place) for tags and (text, place, text) for text nodes, in order. Names of end tags begin with /."""
+def read(page: str, cues: bool = True) -> list[tuple[str, str, str]]:
+    """(tag, name, place) for tags and (text, place, text) for text nodes, in order. Names of end tags begin with /. Without cues, class, id and role say nothing."""
+    out, holders = _read(page, cues, frozenset())
+    return _read(page, cues, frozenset(holders))[0] if holders else out
+
+
+def _read(page: str, cues: bool, plain: frozenset[int]) -> tuple[list[tuple[str, str, str]], list[int]]:
+    """read's tokens, and where the cue elements begin that hold the page's content. Those that begin at plain are no cue elements."""
     out: list[tuple[str, str, str]] = []
     stack: list[tuple[str, str]] = [("", "body")]  # name, and the place that words in it have
+    opened: dict[str, list[int]] = {}  # by name, the elements of stack
+    blocks: list[int] = []  # the block elements of stack
+    cued: list[tuple[int, int]] = []  # cue elements: their place in stack, and where they begin
+    holders: list[int] = []
+    articles = 0
     at, n = 0, len(page)
 
+    def close(k: int) -> None:
+        for name, _ in reversed(stack[k:]):
+            opened[name].pop()
+        del stack[k:]
+        for places in (blocks, cued):
+            while places and (places[-1] if places is blocks else places[-1][0]) >= k:
+                places.pop()
+
     def text(s: str) -> None:
         if s and not s.isspace():
             out.append(("text", stack[-1][1], s))
@@ -66,10 +89,8 @@ def read(page: str) -> list[tuple[str, str, str]]:
         name = m[2].lower()
         if m[1]:
             out.append(("tag", "/" + name, stack[-1][1]))
-            for k in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                close(opened[name][-1])
             continue
         out.append(("tag", name, stack[-1][1]))
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
@@ -78,17 +99,23 @@ def read(page: str) -> list[tuple[str, str, str]]:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        for k in range(len(stack) - 1, max(0, len(stack) - 16), -1):
-            if name in ENDS.get(stack[k][0], ()):
-                del stack[k:]
-                break
-            if stack[k][0] in BLOCK:
-                break
+        if blocks and name in ENDS.get(stack[blocks[-1]][0], ()):
+            close(blocks[-1])
         place = stack[-1][1]
+        articles += name == "article"
+        if cued and place[0] == "!" and (name in ("body", "main") or name == "article" and articles == 1):
+            holders += [begin for _, begin in cued]
+            cued.clear()
+        cue = cues and m[3] and name not in WHOLE and name not in APART and m.start() not in plain and CUE.search(LAYOUT.sub("", m[3]))
         if place[0] != "!":
-            place = "!" + name if name in APART else "!cue" if m[3] and CUE.search(m[3]) else name if name in BLOCK else place
+            place = "!" + name if name in APART else "!cue" if cue else name if name in BLOCK else place
+        if cue:
+            cued.append((len(stack), m.start()))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        opened.setdefault(name, []).append(len(stack))
         stack.append((name, place))
-    return out
+    return out, holders
 
 
 def labelled(tokens: list[tuple[str, str, str]]) -> range | None:
@@ -142,12 +169,15 @@ def extract(page: str | None, weights: tuple[dict[str, float], dict[str, float],
     if not page:
         return ""
     place, tag, unknown = weights
-    tokens = read(page)
-    scores = [
-        len(s.split()) * place.get(name, -0.5 if name[0] == "!" else 0.7) if kind == "text" else weight_of(tag, unknown, name, s)
-        for kind, name, s in tokens
-    ]
-    begin, end = best_region(scores)
+    for cues in (True, False):
+        tokens = read(page, cues)
+        scores = [
+            len(s.split()) * place.get(name, -0.5 if name[0] == "!" else 0.7) if kind == "text" else weight_of(tag, unknown, name, s)
+            for kind, name, s in tokens
+        ]
+        begin, end = best_region(scores)
+        if end and any(kind == "text" and name[0] != "!" for kind, name, _ in tokens[begin:end]):
+            break
     blocks, now = [], []
     for kind, name, s in tokens[begin:end]:
         if kind == "text":
