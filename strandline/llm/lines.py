@@ -3,15 +3,15 @@
 A document fails the base rules if it has fewer than min_words words, or if more than max_repeat percent of its words lie
 in windows of `window` words that its text has at least twice. The method then looks across documents: lines, normalised (A-Z lowered, digits as 0,
 white space as one space, trimmed), are hashed; for each host and hash the distinct documents are counted; lines that over
-max_docs documents of a host share are removed, and a document is rejected if that leaves under min_left
+max_docs documents of a host, and over a share of max_share of its documents, share are removed, and a document is rejected if that leaves under min_left
 of its words.
 
 A document contributes each distinct line once, so counts are plain sums that are combined before the shuffle; a line that a third of all
 documents has is one key with one partial sum a task. Flags go back to the documents' lines by an equal join whose left side
-Spark can split. Only hashes are shuffled, never text, and only lines of at least min_line words.
+Spark can split. Only hashes are shuffled, never text, and all lines that have a word, however short (min_line can leave out shorter ones).
 
 Exact copies of a whole document would make all their lines frequent, so a host's copies of one text count as one document:
-the text's hash stands for the document.
+the text's hash stands for the document. A host's documents, of which max_share is a share, are its distinct texts that have a counted line.
 
 Defined results: null or empty text has no words and fails; repeated rows each get a row; a null host is a host of its own; an
 empty table gives no rows.
@@ -90,14 +90,26 @@ def base_rules(docs: DataFrame, host: str, min_words: int, max_repeat: int) -> D
     )
 
 
-def judge(docs: DataFrame, host: str = "source", min_words: int = 20, max_repeat: int = 30, min_line: int = 3, max_docs: int = 20, min_left: float = 0.5) -> DataFrame:
+def frequent(mine: DataFrame, texts: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """host, hash of mine (host, text_hash, hash; distinct) that more of its host's texts (host, text_hash; distinct) have than max_docs and their share.
+
+    Only hosts large enough for the share to count are sent to the tasks: at most max_share / max_docs of the number of texts.
+    """
+    limits = texts.groupBy("host").agg((F.count("*") * max_share).alias("limit")).where(F.col("limit") > max_docs)
+    counted = mine.groupBy("host", "hash").count().where(F.col("count") > max_docs)
+    return counted.join(F.broadcast(limits), "host", "left").where(F.col("limit").isNull() | (F.col("count") > F.col("limit"))).select("host", "hash")
+
+
+def judge(
+    docs: DataFrame, host: str = "source", min_words: int = 20, max_repeat: int = 30, min_line: int = 1, max_docs: int = 20, min_left: float = 0.5, max_share: float = 0.05
+) -> DataFrame:
     """doc_id, the base counts, base_failed, removed_words, removed_lines, kept for each row of docs."""
     ruled = written(base_rules(docs, host, min_words, max_repeat), "lines")
     long_lines = F.filter("lines", lambda l: l["words"] >= min_line)
     # One row a distinct text of a host, from all rows, failed ones included; each of its distinct lines once.
     texts = ruled.where(F.size(long_lines) > 0).groupBy("host", "text_hash").agg(F.min(F.array_sort(long_lines)).alias("lines"))
     mine = texts.select("host", "text_hash", F.explode("lines").alias("l")).groupBy("host", "text_hash", F.col("l.hash").alias("hash")).agg(F.sum("l.words").alias("words"), F.count("*").alias("times"))
-    shared = mine.groupBy("host", "hash").count().where(F.col("count") > max_docs).select("host", "hash")
+    shared = frequent(mine, ruled.where(F.size(long_lines) > 0).select("host", "text_hash").distinct(), max_docs, max_share)
     lost = mine.join(shared, ["host", "hash"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.sum("times").alias("removed_lines"))
     return (
         ruled.join(lost, ["host", "text_hash"], "left")
@@ -107,15 +119,16 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = 20, max_repeat
     )
 
 
-def clean(docs: DataFrame, host: str = "source", min_line: int = 3, max_docs: int = 20, **parameters) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", min_line: int = 1, max_docs: int = 20, max_share: float = 0.05, **parameters) -> DataFrame:
     """docs that judge keeps, their texts without the lines that too many documents of their host share."""
     key = F.coalesce(F.concat(F.lit("h"), host), F.lit("n"))
     hashed = lambda l: F.xxhash64(normalised(l))
     long_line = lambda l: F.size(F.array_remove(F.split(l, SPACE + "+"), "")) >= min_line
-    kept = judge(docs, host, min_line=min_line, max_docs=max_docs, **parameters).where("kept").select("doc_id").distinct()
+    kept = judge(docs, host, min_line=min_line, max_docs=max_docs, max_share=max_share, **parameters).where("kept").select("doc_id").distinct()
     rows = docs.withColumns({"_host": key, "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     mine = rows.select("_host", "_hash", F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), long_line), hashed))).alias("_line")).distinct()
-    shared = mine.groupBy("_host", "_line").count().where(F.col("count") > max_docs).select("_host", "_line")
+    named = mine.withColumnsRenamed({"_host": "host", "_hash": "text_hash", "_line": "hash"})
+    shared = frequent(named, named.select("host", "text_hash").distinct(), max_docs, max_share).withColumnsRenamed({"host": "_host", "hash": "_line"})
     gone = mine.join(shared, ["_host", "_line"]).groupBy("_host", "_hash").agg(F.collect_set("_line").alias("_gone"))
     without = F.array_join(F.filter(F.split("text", "\n"), lambda l: ~(F.coalesce(F.array_contains(F.col("_gone"), hashed(l)), F.lit(False)) & long_line(l))), "\n")
     return rows.join(gone, ["_host", "_hash"], "left").join(kept, "doc_id", "left_semi").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without)).select(*docs.columns)
