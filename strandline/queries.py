@@ -140,7 +140,7 @@ def common_kmers(spark, sf) -> DataFrame:
 
 
 def _panel(spark, sf):
-    return preprocess(fx.reference(spark, sf), fx.tracks(spark, sf))
+    return preprocess(fx.reference(spark, sf), fx.tracks(spark, sf), fx.alignments(spark, sf), fx.sample_genotypes(spark, sf))
 
 
 def _expected(spark, sf):
@@ -218,7 +218,9 @@ def preprocess_panel(spark, sf) -> DataFrame:
 
 
 def genotype_end_to_end(spark, sf) -> DataFrame:
-    return genotyping.genotype(_panel(spark, sf), fx.reads(spark, sf), fx.depth_panel(spark, sf), fx.gc_panel(spark, sf))
+    """track, lp, genotype of all tracks, by inner and junction k-mers. A track that no k-mer is left of has a null lp and ./. as its genotype."""
+    calls = genotyping.genotype(_panel(spark, sf), fx.reads(spark, sf), fx.depth_panel(spark, sf), fx.gc_panel(spark, sf))
+    return fx.tracks(spark, sf).select("track").join(calls, "track", "left").select("track", "lp", F.coalesce("genotype", F.lit("./.")).alias("genotype"))
 
 
 def cluster_lp(spark, sf) -> DataFrame:
