@@ -32,12 +32,15 @@ reads AS (
 read_windows AS (SELECT seq, unnest(range(0, len(seq) - 31)) AS s FROM reads),
 read_kmers AS (SELECT {_canon("substr(seq, s + 1, 32)")} AS kmer FROM read_windows),
 counts AS (SELECT kmer, count(*) AS total FROM read_kmers GROUP BY kmer),
-ref_starts AS (SELECT chrom, seq, unnest(range(234, len(seq) - 500)) AS pos FROM reference WHERE len(seq) > 734),
-ref_kmers AS (SELECT chrom, pos, {_canon("substr(seq, pos + 1, 32)")} AS kmer FROM ref_starts),
-panel_97 AS (SELECT chrom, pos, seq, {_canon("substr(seq, pos + 1, 32)")} AS kmer FROM ref_starts WHERE (pos - 234) % 97 = 0),
-panel_61 AS (SELECT chrom, pos, seq, {_canon("substr(seq, pos + 1, 32)")} AS kmer FROM ref_starts WHERE (pos - 234) % 61 = 0),
+chunks AS (
+  SELECT chrom, n, off, base, substr(seq, base + 1, 1792) AS seq
+  FROM (SELECT chrom, seq, len(seq) AS n, c * 1024 AS off, greatest(c * 1024 - 256, 0) AS base FROM (SELECT *, unnest(range(0, len(seq) // 1024 + 1)) AS c FROM reference))),
+ref_starts AS (SELECT chrom, n, seq, pos, pos - base AS i FROM (SELECT *, unnest(range(greatest(234, off), least(n - 500, off + 1024))) AS pos FROM chunks WHERE n > 734)),
+ref_kmers AS (SELECT chrom, n, seq, pos, i, {_canon("substr(seq, i + 1, 32)")} AS kmer FROM ref_starts),
+panel_97 AS (SELECT * FROM ref_kmers WHERE (pos - 234) % 97 = 0),
+panel_61 AS (SELECT * FROM ref_kmers WHERE (pos - 234) % 61 = 0),
 depth_panel AS (SELECT DISTINCT kmer FROM panel_97),
-gc_panel AS (SELECT kmer, min(len(regexp_replace(substr(seq, pos - 233, 500), '[^CG]', '', 'g')) // 5) AS gc FROM panel_61 GROUP BY kmer),
+gc_panel AS (SELECT kmer, min(len(regexp_replace(substr(seq, i - 233, 500), '[^CG]', '', 'g')) // 5) AS gc FROM panel_61 GROUP BY kmer),
 panel_counts AS (SELECT kmer, CAST(coalesce(total, 0) AS BIGINT) AS total FROM depth_panel LEFT JOIN counts USING (kmer)),
 gc_counts AS (SELECT gc, CAST(coalesce(total, 0) AS BIGINT) AS total FROM gc_panel LEFT JOIN counts USING (kmer)),
 trims AS (
@@ -82,9 +85,9 @@ ins_kmers AS (
   UNION ALL SELECT track, kmer, mult FROM brk_kmers k WHERE NOT EXISTS (SELECT 1 FROM ins_body i WHERE i.track = k.track AND i.kmer = k.kmer)),
 own AS (SELECT d.*, chrom, b, e FROM del_kmers d JOIN tracks USING (track)),
 located AS (
-  SELECT kmer, k.chrom, pos, CASE WHEN pos >= 32 THEN substr(seq, pos - 31, 32) END AS "left", CASE WHEN pos + 64 <= len(seq) THEN substr(seq, pos + 33, 32) END AS "right",
-         CAST(len(regexp_replace(substr(seq, pos - 233, 500), '[^CG]', '', 'g')) // 5 AS INTEGER) AS gc
-  FROM (SELECT *, row_number() OVER (PARTITION BY kmer, chrom ORDER BY pos) AS nth FROM ref_kmers WHERE kmer IN (SELECT kmer FROM own)) k JOIN reference r ON r.chrom = k.chrom WHERE nth <= 4),
+  SELECT kmer, chrom, pos, CASE WHEN pos >= 32 THEN substr(seq, i - 31, 32) END AS "left", CASE WHEN pos + 64 <= n THEN substr(seq, i + 33, 32) END AS "right",
+         CAST(len(regexp_replace(substr(seq, i - 233, 500), '[^CG]', '', 'g')) // 5 AS INTEGER) AS gc
+  FROM (SELECT *, row_number() OVER (PARTITION BY kmer, chrom ORDER BY pos) AS nth FROM ref_kmers WHERE kmer IN (SELECT kmer FROM own)) WHERE nth <= 4),
 hits AS (SELECT kmer, count(pos) AS hits FROM (SELECT DISTINCT kmer FROM own) LEFT JOIN located USING (kmer) GROUP BY kmer),
 named AS (
   SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM own o WHERE o.kmer = l.kmer AND o.chrom = l.chrom AND l.pos >= o.b - 32 AND l.pos <= o.e) THEN 'INNER' ELSE 'REF' END AS type
@@ -148,7 +151,7 @@ def q(body: str, own: str = "own") -> str:
 
 
 FIRST = "(SELECT DISTINCT kmer FROM panel_97)"
-MASKS_97 = """(SELECT DISTINCT kmer, mask FROM (SELECT kmer, unnest([substr(seq, pos - 31, 32), CASE WHEN pos + 64 <= len(seq) THEN substr(seq, pos + 33, 32) END]) AS mask FROM panel_97) WHERE mask IS NOT NULL)"""
+MASKS_97 = """(SELECT DISTINCT kmer, mask FROM (SELECT kmer, unnest([substr(seq, i - 31, 32), CASE WHEN pos + 64 <= n THEN substr(seq, i + 33, 32) END]) AS mask FROM panel_97) WHERE mask IS NOT NULL)"""
 
 SQL = {
     "kmer_count_canonical": q("SELECT * FROM counts"),
@@ -162,7 +165,10 @@ SELECT p.kmer, CAST(coalesce(sum(CAST(pass AS BIGINT)), 0) AS BIGINT) AS count,
     FROM read_windows WHERE {_canon("substr(seq, s + 1, 32)")} IN (SELECT kmer FROM panel_97)) w JOIN {MASKS_97} m USING (kmer) GROUP BY ALL) USING (kmer) GROUP BY p.kmer"""),
     "depth_estimate": q("SELECT coverage, round(std, 6) AS std, rounds FROM settled"),
     "gc_depth": q("SELECT * FROM gc_depth"),
-    "gc_window": q("SELECT chrom, CAST(gc AS INTEGER) AS gc, count(*) AS n FROM (SELECT chrom, len(regexp_replace(substr(seq, pos - 233, 500), '[^CG]', '', 'g')) // 5 AS gc FROM ref_starts) GROUP BY ALL"),
+    "gc_window": q("""
+SELECT chrom, CAST(gc AS INTEGER) AS gc, count(*) AS n FROM (
+  SELECT chrom, n, pos, sum(CAST(substr(seq, pos - base + 1, 1) IN ('C', 'G') AS INTEGER)) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN 234 PRECEDING AND 265 FOLLOWING) // 5 AS gc
+  FROM (SELECT *, unnest(range(off, least(n, off + 1024))) AS pos FROM chunks WHERE n > 734)) WHERE pos BETWEEN 234 AND n - 501 GROUP BY ALL"""),
     "del_inner_kmers": q("SELECT * FROM del_kmers"),
     "ins_breakpoint_kmers": q("SELECT * FROM brk_kmers"),
     "ins_body_kmers": q('SELECT track, kmer, chrom, b AS pos, "left", "right", gc FROM ins_loci'),
@@ -194,5 +200,5 @@ GROUP BY track, kmer HAVING count(DISTINCT sample) = 2"""),
 SELECT chrom, b - b % 100 AS "begin", b - b % 100 + 100 AS "end", svtype, genotype FROM tracks QUALIFY row_number() OVER (PARTITION BY chrom, b // 100, svtype ORDER BY partkey % 3, partkey) = 1"""),
     "subsequence_match": q(f"""
 SELECT chrom, pos, {_fits("kmer", "lf")} AS in_left, {_fits("kmer", "rf")} AS in_right, (substr(lf, 2, 31) || 'A') LIKE '%' || regexp_replace(substr(lf, 5, 24), '(.)', '\\1%', 'g') AS shifted
-FROM (SELECT chrom, pos, kmer, substr(seq, pos - 31, 32) AS lf, substr(seq, pos + 33, 32) AS rf FROM panel_61 WHERE pos + 64 <= len(seq))"""),
+FROM (SELECT chrom, pos, kmer, substr(seq, i - 31, 32) AS lf, substr(seq, i + 33, 32) AS rf FROM panel_61 WHERE pos + 64 <= n)"""),
 }
