@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dna
-from .operators.windows import reference_kmers, with_context
+from .operators.windows import CHUNK, MARGIN, reference_kmers, with_context
+from .session import written
 
 READ, STEP, CHROMS = 150, 30, 22
+#: Documents are cut into stretches of so many bases before reads are, so that no long text is copied to each of its reads.
+STRETCH = 3000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,44 +19,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark, sf_dir) -> DataFrame:
-    """doc_id, seq."""
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", dna.to_dna(F.col("text")).alias("seq"))
+    """doc_id, chrom, seq."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", dna.to_dna(F.col("text")).alias("seq"))
+    return rows.withColumn("chrom", F.concat(F.lit("chr"), (1 + F.col("doc_id") % CHROMS).cast("string")))
 
 
 def placed(spark, sf_dir) -> DataFrame:
-    """doc_id, seq, chrom, offset: where each document's bases stand on their chromosome."""
-    rows = sequences(spark, sf_dir).withColumn("chrom", F.concat(F.lit("chr"), (1 + F.col("doc_id") % CHROMS).cast("string")))
-    before = Window.partitionBy("chrom").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.select("doc_id", "chrom", F.length("seq").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "chrom")
+    """doc_id, seq, chrom, offset: where each document's bases stand on their chromosome. Offsets are sums over ranges of doc_id, then within a range: no task sums a whole chromosome's documents."""
+    rows = sequences(spark, sf_dir)
+    sizes = rows.select("doc_id", "chrom", F.length("seq").alias("n"), F.floor(F.col("doc_id") / 10_000).alias("range"))
+    before = lambda *keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("chrom", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("chrom", "range", F.coalesce(F.sum("n").over(before("chrom", order="range")), F.lit(0)).alias("first"))
+    within = F.coalesce(F.sum("n").over(before("chrom", "range", order="doc_id")), F.lit(0))
+    offsets = sizes.withColumn("within", within).join(ranges, ["chrom", "range"]).select("doc_id", (F.col("first") + F.col("within")).alias("offset"))
     return rows.join(offsets, "doc_id")
 
 
+def lengths(spark, sf_dir) -> DataFrame:
+    """chrom, length."""
+    return sequences(spark, sf_dir).groupBy("chrom").agg(F.sum(F.length("seq")).cast("int").alias("length"))
+
+
 def reference(spark, sf_dir) -> DataFrame:
-    """chrom, seq. A chromosome is a bounded string, as in any genome."""
-    rows = sequences(spark, sf_dir).withColumn("chrom", F.concat(F.lit("chr"), (1 + F.col("doc_id") % CHROMS).cast("string")))
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "seq")))
-    return rows.groupBy("chrom").agg(F.array_join(F.transform(parts, lambda p: p["seq"]), "").alias("seq"))
+    """chrom, length, offset, base, piece: chromosomes as overlapping pieces (see operators.windows.chunks), put together from the documents that each touches."""
+    begin, end = F.col("offset"), F.col("offset") + F.length("seq")
+    touched = F.sequence(F.greatest(F.floor((begin - MARGIN) / CHUNK), F.lit(0)), F.floor((end - 1 + MARGIN) / CHUNK))
+    parts = F.transform(touched, lambda c: F.struct(c.alias("nth"), F.greatest(begin, c * CHUNK - MARGIN).alias("at"), F.least(end, (c + 1) * CHUNK + MARGIN).alias("to")))
+    cut = F.transform(parts, lambda p: F.struct(p["nth"], p["at"], F.substring(F.col("seq"), (p["at"] - begin + 1).cast("int"), (p["to"] - p["at"]).cast("int")).alias("bases")))
+    rows = placed(spark, sf_dir).where(F.length("seq") > 0).select("chrom", F.explode(cut).alias("p")).select("chrom", "p.*")
+    pieces = rows.groupBy("chrom", "nth").agg(F.array_sort(F.collect_list(F.struct("at", "bases"))).alias("parts"))  # at most a piece's bases
+    whole = pieces.join(F.broadcast(lengths(spark, sf_dir)), "chrom").where(F.col("nth") * CHUNK < F.col("length"))
+    return written(
+        whole.select("chrom", "length", (F.col("nth") * CHUNK).alias("offset"), F.greatest(F.col("nth") * CHUNK - MARGIN, F.lit(0)).alias("base"), F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("piece")),
+        "reference",
+    )
+
+
+def cut_reads(rows: DataFrame, least: int) -> DataFrame:
+    """rows with o and bases: a read at every STEP-th base and one flush with the end; sequences of fewer than READ bases, but at least `least`, are one read."""
+    n = F.length("seq")
+    last = F.greatest(n - READ, F.lit(0))
+    stretches = F.transform(F.sequence(F.lit(0), last, F.lit(STRETCH)), lambda i: F.struct(i.alias("first"), F.substring(F.col("seq"), i + 1, F.lit(STRETCH + READ)).alias("piece")))
+    cut = rows.where(n >= least).withColumn("last", last).withColumn("s", F.explode(stretches)).drop("seq")
+    first = F.col("s.first")
+    regular = F.sequence(first, F.least(F.col("last"), first + STRETCH - 1), F.lit(STEP))
+    offsets = F.when(F.col("last") < first + STRETCH, F.array_union(regular, F.array("last"))).otherwise(regular)
+    return cut.withColumn("o", F.explode(offsets)).withColumn("bases", F.substring(F.col("s.piece"), F.col("o") - first + 1, F.lit(READ))).drop("s", "last")
+
+
+def read_id(doc_id: Column, o: Column) -> Column:
+    return doc_id * 1_000_000 + o
+
+
+def sample_of(o: Column) -> Column:
+    return (o / STEP).cast("int") % 2
 
 
 def reads(spark, sf_dir) -> DataFrame:
     """read_id, sample, seq."""
-    last = F.greatest(F.length("seq") - READ, F.lit(0))
-    rows = sequences(spark, sf_dir).withColumn("o", F.explode(F.sequence(F.lit(0), last, F.lit(STEP))))
-    rows = rows.select((F.col("doc_id") * 1_000_000 + F.col("o")).alias("read_id"), ((F.col("o") / STEP).cast("int") % 2).alias("sample"), F.substring(F.col("seq"), F.col("o") + 1, F.lit(READ)).alias("seq"))
-    return rows.where(F.length("seq") >= dna.K)
+    return cut_reads(sequences(spark, sf_dir), dna.K).select(read_id(F.col("doc_id"), F.col("o")).alias("read_id"), sample_of(F.col("o")).alias("sample"), F.col("bases").alias("seq"))
 
 
 def tracks(spark, sf_dir) -> DataFrame:
     """track, chrom, begin, end, svtype, svlen, seq, genotype; one for each part, the first of those in one place."""
-    lengths = reference(spark, sf_dir).select("chrom", F.length("seq").cast("long").alias("n"))
-    by_id = Window.orderBy("item_id")
+    sizes = F.broadcast(lengths(spark, sf_dir).select("chrom", F.col("length").cast("long").alias("n")))  # a row a chromosome
+    by_id = Window.orderBy("item_id")  # of the benchmark, which is a fixed query set
     items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", dna.to_dna(F.col("text")).alias("insert")).withColumn("k", F.row_number().over(by_id) - 1).drop("item_id")
     many = items.count()
     p = F.col("p_partkey")
     rows = (
         table(spark, sf_dir, "part").select("p_partkey", "p_size")
         .withColumn("chrom", F.concat(F.lit("chr"), (1 + p % CHROMS).cast("string")))
-        .join(lengths, "chrom").where("n > 1200")
+        .join(sizes, "chrom").where("n > 1200")
         .withColumn("k", p % many).join(items, "k")
         .withColumn("begin", (300 + (p * 7919) % (F.col("n") - 1100)).cast("int"))
         .withColumn("size", (40 + F.col("p_size") * 4).cast("int"))
@@ -86,11 +124,11 @@ def gc_panel(spark, sf_dir) -> DataFrame:
 
 def alignments(spark, sf_dir) -> DataFrame:
     """sample, read_id, chrom, pos, cigar, read of whole reads at their place; the cigar goes by the read."""
-    rows = placed(spark, sf_dir).where(F.length("seq") >= READ).withColumn("o", F.explode(F.sequence(F.lit(0), F.length("seq") - READ, F.lit(STEP))))
+    rows = cut_reads(placed(spark, sf_dir), READ)
     op = lambda *ops: F.array(*[F.struct(F.lit(o).alias("op"), F.lit(n).alias("len")) for o, n in ops])
     kind = (F.col("doc_id") + (F.col("o") / STEP).cast("int")) % 5
     cigar = (
         F.when(kind == 0, op(("M", 150))).when(kind == 1, op(("S", 60), ("M", 90))).when(kind == 2, op(("M", 90), ("S", 60)))
         .when(kind == 3, op(("S", 20), ("M", 110), ("S", 20))).otherwise(op(("M", 50), ("D", 140), ("M", 100)))
     )
-    return rows.select(((F.col("o") / STEP).cast("int") % 2).alias("sample"), (F.col("doc_id") * 1_000_000 + F.col("o")).alias("read_id"), "chrom", (F.col("offset") + F.col("o")).cast("int").alias("pos"), cigar.alias("cigar"), F.substring(F.col("seq"), F.col("o") + 1, F.lit(READ)).alias("read"))
+    return rows.select(sample_of(F.col("o")).alias("sample"), read_id(F.col("doc_id"), F.col("o")).alias("read_id"), "chrom", (F.col("offset") + F.col("o")).cast("int").alias("pos"), cigar.alias("cigar"), F.col("bases").alias("read"))

@@ -6,41 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .windows import read_kmers, windows
+from .windows import packed_windows
 
 
 def count_all(reads: DataFrame) -> DataFrame:
-    """kmer, total: every canonical k-mer of the reads. Partial sums go before the shuffle."""
-    return read_kmers(reads).groupBy("kmer").agg(F.count("*").alias("total"))
+    """kmer, total: every canonical k-mer of the reads. Sums are over packed k-mers, and partial ones go before the shuffle; an unknown base counts as G."""
+    sums = packed_windows(reads).groupBy("code").agg(F.count("*").alias("total"))
+    return sums.select(dna.decode(F.col("code")).alias("kmer"), "total")
 
 
 def count_panel(reads: DataFrame, panel: DataFrame) -> DataFrame:
-    """kmer, total for every k-mer of panel (kmer), 0 where unseen. Reads are filtered by the panel before anything is summed."""
-    keys = panel.select("kmer").distinct()
-    seen = read_kmers(reads).join(keys, "kmer").groupBy("kmer").agg(F.count("*").alias("total"))
-    return keys.join(seen, "kmer", "left").select("kmer", F.coalesce("total", F.lit(0)).alias("total"))
+    """kmer, total for every k-mer of panel (kmer), 0 where unseen. Reads are filtered by the packed panel before anything is summed."""
+    keys = panel.select("kmer").distinct().withColumn("code", dna.encode(F.col("kmer")))
+    seen = packed_windows(reads).join(keys.select("code"), "code", "left_semi").groupBy("code").agg(F.count("*").alias("total"))
+    return keys.join(seen, "code", "left").select("kmer", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def count_masked(reads: DataFrame, masks: DataFrame) -> DataFrame:
     """kmer, count, total for masks (kmer, mask: null for a k-mer without masks). An occurrence counts if the k-mer has no masks, or if some mask
-    is a gapped subsequence of a flank that the read has whole. k-mers are met as the read has them or as its complement; masks are the k-mer's."""
-    known = masks.groupBy("kmer").agg(F.collect_set("mask").alias("masks"))
-    rows = windows(reads.select(F.translate("seq", "N", "G").alias("seq")))
-    at, seq = F.col("start"), F.col("seq")
-    rows = rows.select(
-        dna.canonical(dna.kmer_at(seq, at)).alias("kmer"),
-        dna.left_of(seq, at).alias("left"),
-        dna.right_of(seq, at).alias("right"),
-    )
+    is a gapped subsequence of a flank that the read has whole. k-mers are met as the read has them or as its complement; masks are the k-mer's.
+    Occurrences with equal flanks are judged once."""
+    known = masks.groupBy("kmer").agg(F.collect_set("mask").alias("masks")).withColumn("code", dna.encode(F.col("kmer")))
+    rows = packed_windows(reads, flanks=True).join(known.select("code"), "code", "left_semi").groupBy("code", "left", "right").agg(F.count("*").alias("n"))
+    rows = rows.join(known, "code").withColumns({c: dna.decode(F.col(c)) for c in ("left", "right")})
     passes = (F.size("masks") == 0) | F.exists(
         "masks", lambda m: F.coalesce(dna.is_canonical_subsequence(m, F.col("left")), F.lit(False)) | F.coalesce(dna.is_canonical_subsequence(m, F.col("right")), F.lit(False))
     )
-    seen = rows.join(known, "kmer").groupBy("kmer").agg(F.sum(passes.cast("long")).alias("count"), F.count("*").alias("total"))
+    seen = rows.groupBy("kmer").agg(F.sum(F.when(passes, F.col("n")).otherwise(0)).alias("count"), F.sum("n").alias("total"))
     return known.select("kmer").join(seen, "kmer", "left").select("kmer", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def fold_strands(counts: DataFrame) -> DataFrame:
     """kmer, count, total summed over both strands of counts (kmer, count, total)."""
     return counts.groupBy(dna.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
-
-

@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .windows import K, windows
+from .windows import CHUNK, K, chunks, packed_windows, windows
 
 
-def bases(start, length):
-    """Bases of a chromosome from start on. It is kept as bytes, where a place is found at once."""
-    return F.decode(F.substring(F.col("bases"), (start + 1).cast("int"), length.cast("int")), "UTF-8")
+def around(tracks: DataFrame, reference: DataFrame, svtype: str, begin: Column, length: Column, seq=lambda bases: bases) -> DataFrame:
+    """Tracks of a type with `window`, made by seq of `length` bases from `begin` on; without those whose window has an unknown base.
+
+    The bases come from the chunks of the reference that they touch, by an equal join; what is gathered for a track is as long as its window.
+    """
+    rows = tracks.where(F.col("svtype") == svtype).withColumns({"low": begin.cast("long"), "high": (begin + length).cast("long")})
+    touched = F.explode(F.sequence(F.greatest(F.floor(F.col("low") / CHUNK), F.lit(0)), F.floor((F.col("high") - 1) / CHUNK)))
+    parts = chunks(reference).select("chrom", (F.col("offset") / CHUNK).cast("long").alias("nth"), "offset", F.substring(F.col("piece"), (F.col("offset") - F.col("base") + 1).cast("int"), F.lit(CHUNK)).alias("own"))
+    from_, to = F.greatest(F.col("low"), F.col("offset")), F.least(F.col("high"), F.col("offset") + CHUNK)
+    cut = rows.select("track", "chrom", "low", "high", touched.alias("nth")).join(parts, ["chrom", "nth"])
+    cut = cut.select("track", F.struct("nth", F.substring(F.col("own"), (from_ - F.col("offset") + 1).cast("int"), (to - from_).cast("int")).alias("bases")).alias("part"))
+    whole = cut.groupBy("track").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["bases"]), "").alias("window"))
+    return rows.drop("low", "high").join(whole, "track").withColumn("window", seq(F.col("window"))).where(~F.contains("window", F.lit("N")))
 
 
-def around(tracks: DataFrame, reference: DataFrame, svtype: str, seq) -> DataFrame:
-    """Tracks of a type with `window`, cut from their chromosome's sequence; without those whose window has an unknown base."""
-    rows = tracks.where(F.col("svtype") == svtype).join(reference.select("chrom", F.encode("seq", "UTF-8").alias("bases")), "chrom")
-    return rows.withColumn("window", seq).drop("bases").where(~F.contains("window", F.lit("N")))
+def counted(windows: DataFrame) -> DataFrame:
+    """track, kmer, mult of windows (track, window)."""
+    return packed_windows(windows, "track", seq="window").groupBy("track", "code").agg(F.count("*").alias("mult")).select("track", dna.decode(F.col("code")).alias("kmer"), "mult")
 
 
 def deletions(tracks: DataFrame, reference: DataFrame) -> DataFrame:
     """track, kmer, mult: every 32-mer from 32 before a deletion to 32 past its length."""
-    cut = bases(F.col("begin") - 32, F.col("svlen") + 64)
-    rows = windows(around(tracks, reference, "DEL", cut), seq="window")
-    return rows.select("track", dna.canonical(dna.kmer_at(F.col("window"), F.col("start"))).alias("kmer")).groupBy("track", "kmer").agg(F.count("*").alias("mult"))
+    return counted(around(tracks, reference, "DEL", F.col("begin") - 32, F.col("svlen") + 64))
 
 
 def breakpoints(tracks: DataFrame, reference: DataFrame) -> DataFrame:
     """track, kmer, mult: the 33 k-mers across an insertion's place in the reference."""
-    rows = windows(around(tracks, reference, "INS", bases(F.col("begin") - 32, F.lit(64))), seq="window")
-    return rows.select("track", dna.canonical(dna.kmer_at(F.col("window"), F.col("start"))).alias("kmer")).groupBy("track", "kmer").agg(F.count("*").alias("mult"))
+    return counted(around(tracks, reference, "INS", F.col("begin") - 32, F.lit(64)))
 
 
 def bodies(tracks: DataFrame, reference: DataFrame) -> DataFrame:
     """track, chrom, begin, start, kmer, left, right, gc: k-mers of inserted sequence whose flanks lie in the insert, 250 bases around it read too."""
-    before, after = bases(F.col("begin") - 250, F.lit(250)), bases(F.col("end"), F.lit(250))
-    rows = around(tracks, reference, "INS", F.upper(F.concat(before, F.col("seq"), after)))
+    gap = F.col("end") - F.col("begin")
+    inserted = lambda bases: F.upper(F.concat(F.substring(bases, F.lit(1), F.lit(250)), F.col("seq"), F.substring(bases, gap + 251, F.lit(250))))
+    rows = around(tracks, reference, "INS", F.col("begin") - 250, gap + 500, inserted)
     rows = windows(rows, 282, F.length("window") - 250 - 2 * K + 1, seq="window")
     w, s = F.col("window"), F.col("start")
     return rows.select("track", "chrom", "begin", "start", dna.canonical(dna.kmer_at(w, s)).alias("kmer"), dna.left_of(w, s).alias("left"), dna.right_of(w, s).alias("right"), dna.gc_percent(w, s).alias("gc"))

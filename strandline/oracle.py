@@ -28,7 +28,7 @@ placed AS (SELECT doc_id, seq, 'chr' || (1 + doc_id % 22) AS chrom, coalesce(sum
 reference AS (SELECT chrom, string_agg(seq, '' ORDER BY doc_id) AS seq FROM placed GROUP BY chrom),
 reads AS (
   SELECT doc_id * 1000000 + o AS read_id, (o // 30) % 2 AS sample, substr(seq, o + 1, 150) AS seq
-  FROM (SELECT doc_id, seq, unnest(range(0, greatest(len(seq) - 150, 0) + 1, 30)) AS o FROM dna) WHERE len(substr(seq, o + 1, 150)) >= 32),
+  FROM (SELECT doc_id, seq, unnest(list_distinct(range(0, greatest(len(seq) - 150, 0) + 1, 30) || [greatest(len(seq) - 150, 0)])) AS o FROM dna) WHERE len(substr(seq, o + 1, 150)) >= 32),
 read_windows AS (SELECT seq, unnest(range(0, len(seq) - 31)) AS s FROM reads),
 read_kmers AS (SELECT {_canon("substr(seq, s + 1, 32)")} AS kmer FROM read_windows),
 counts AS (SELECT kmer, count(*) AS total FROM read_kmers GROUP BY kmer),
@@ -95,7 +95,7 @@ named AS (
 masks AS (SELECT DISTINCT kmer, mask FROM (SELECT kmer, unnest(["left", "right"]) AS mask FROM named WHERE type <> 'REF') WHERE mask IS NOT NULL),
 aligned AS (
   SELECT (o // 30) % 2 AS sample, doc_id * 1000000 + o AS read_id, chrom, CAST(off + o AS INTEGER) AS pos, (doc_id + o // 30) % 5 AS kind, substr(seq, o + 1, 150) AS read
-  FROM (SELECT *, unnest(range(0, len(seq) - 149, 30)) AS o FROM placed WHERE len(seq) >= 150)),
+  FROM (SELECT *, unnest(list_distinct(range(0, len(seq) - 149, 30) || [len(seq) - 150])) AS o FROM placed WHERE len(seq) >= 150)),
 near AS (SELECT sample, read_id, a.chrom, b, track, read, kind, svlen FROM aligned a JOIN tracks t ON a.chrom = t.chrom AND a.pos >= t.b - 100 AND a.pos <= t.e + 100),
 clip AS (
   SELECT *, CASE kind WHEN 1 THEN [[0, 60]] WHEN 2 THEN [[90, 150]] WHEN 3 THEN [[0, 20], [130, 150]] WHEN 4 THEN CASE WHEN 140 >= 0.9 * svlen AND 140 <= 1.1 * svlen THEN [[50, 190]] ELSE [] END ELSE [] END AS clips FROM near),

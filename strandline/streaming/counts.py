@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.windows import read_kmers
+from ..functions import dna
+from ..operators.windows import packed_windows
 
 
 def stream_reads(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,4 +16,5 @@ def stream_reads(spark: SparkSession, folder: str) -> DataFrame:
 
 def count_panel(reads: DataFrame, panel: DataFrame) -> DataFrame:
     """kmer, total of the panel's k-mers in a stream of reads. The state has a row for each k-mer of the panel at most, so it needs no watermark; write it in complete or update mode."""
-    return read_kmers(reads).join(panel.select("kmer").distinct(), "kmer").groupBy("kmer").agg(F.count("*").alias("total"))
+    keys = panel.select("kmer").distinct().withColumn("code", dna.encode(F.col("kmer")))
+    return packed_windows(reads).join(keys, "code").groupBy("kmer").agg(F.count("*").alias("total"))
