@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores after it until no column is called so (Spark's names know no case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to lower case, all else as it is."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -30,8 +38,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """About `rows` rows of df (all, if it has fewer), and never over twice as many, the same each time: those whose hash of keys
-    falls into the share that makes this number. No row moves to be ranked."""
+def bounded_sample(df: DataFrame, rows: int) -> DataFrame:
+    """About `rows` distinct rows of df (all, if it has fewer), the same each time: those whose hash falls into the share that makes
+    this number. No row moves to be ranked, and repeated rows, however many, count as one."""
     share = min(1.0, 1.1 * rows / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * rows)
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).distinct()
+
+
+def window_of(text: Column, max_chars: int) -> Column:
+    """text, or, of a longer one, max_chars characters at a place that its hash gives."""
+    at = 1 + F.pmod(F.xxhash64(text), F.greatest(F.length(text) - max_chars, F.lit(1)).cast("long"))
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.substring(text, at.cast("int"), F.lit(max_chars)))
