@@ -2,17 +2,19 @@
 
 A word's input is its word vector (one vector for all words outside the vocabulary) beside the mean vector of its character 3- and 4-grams, hashed to
 `grams` rows. The network reads windows of `window` words that overlap by half, pools its states by attention and gives the window's probability; a document's
-score is its highest window's. All windows of the whole text are scored; a text of fewer words is one window.
+score is its highest window's. All windows of the whole text are scored; a text of fewer words is one window. A run of letters of over 40 characters (words run
+together, scripts without spaces) is read as overlapping pieces, each a word of the window.
 
-Trained by backpropagation through time in numpy, on the driver, over at most per_class documents of each label (chosen by hash of doc_id; texts of over max_chars
-characters are not learned from). Labels are of documents, so the windows to learn from are chosen: of a toxic document the
+Trained by backpropagation through time in numpy, on the driver, over about per_class documents of each label (chosen by hash; of a text of over max_chars
+characters, that many from a place that its hash gives). Labels are of documents, so the windows to learn from are chosen: of a toxic document the
 windows_up windows that look worst, first by log odds of words and character grams, then by the model itself; of others some
 at random, then also those that look worst. The first component of the vectors begins as these log odds.
 
 A task projects each distinct word to the gates' inputs once and reads windows as rows of word numbers.
 
 Defined results: a null text, or one without a word, scores 0; without rows of both labels to learn from, all score their share of label 1; repeated rows
-each get a row; an empty table gives no rows. Where doc_id has several labels, the highest counts.
+each get a row; an empty table gives no rows. Where doc_id has several labels, the highest counts. Other columns stay as they are, and where one is
+called _score the new one gets underscores after that name; it is always the last.
 """
 
 from __future__ import annotations
@@ -29,20 +31,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gru
-from .common import table
+from ..session import written
+from .common import bounded_sample, table, unused, window_of
 
 TOKEN = re.compile(r"[^\W_]+")
 
 
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+def tokens(text: str | None, longest: int = 40) -> list[str]:
+    """Runs of letters and digits in lower case; longer ones as overlapping pieces of `longest` characters, the last one flush with the end."""
+    out = TOKEN.findall(text.lower()) if text else []
+    if all(len(w) <= longest for w in out):
+        return out
+    cut = lambda w: [w[i : i + longest] for i in (*range(0, len(w) - longest, longest // 2), len(w) - longest)] if len(w) > longest else [w]
+    return [piece for w in out for piece in cut(w)]
 
 
-def gram_ids(words: list[bytes], grams: int, longest: int = 40) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By length: which words, and the rows of their character grams. Of a longer word, the first and last halves of `longest` bytes."""
+def gram_ids(words: list[bytes], grams: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: which words, and the rows of all their character grams."""
     by_length = defaultdict(lambda: ([], []))
     for k, w in enumerate(words):
-        w = b"<" + (w if len(w) <= longest else w[: longest // 2] + w[-longest // 2 :]) + b">"
+        w = b"<" + w + b">"
         by_length[len(w)][0].append(k)
         by_length[len(w)][1].append(w)
     out = {}
@@ -236,14 +244,15 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of the rows to learn from, in a fixed order."""
+    """(text, label) of the rows to learn from, in a fixed order. Documents are chosen first by the hash of doc_id, then, where a doc_id has many texts, by that of the text."""
     known = labels.where(may_learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, int(min(1.0, per_class / max(1, counts.get(y, 0))) * (1 << 30)))])
-    picked = known.where(place < share[F.col("y")]).limit(4 * per_class)  # the bound of what is broadcast
-    rows = docs.where((F.length("text") > 0) & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(picked), "doc_id").limit(8 * per_class).collect()
-    return sorted((r["text"], r["y"]) for r in rows)
+    picked = known.where(place < share[F.col("y")])  # about per_class distinct doc_ids of each label: so many are sent to the tasks
+    texts = docs.where(F.length("text") > 0).select("doc_id", window_of(F.col("text"), max_chars).alias("text"))
+    rows = written(texts.join(F.broadcast(picked), "doc_id").select("text", "y").distinct(), "sample")
+    return sorted((r["text"], r["y"]) for y in (0, 1) for r in bounded_sample(rows.where(F.col("y") == y), 2 * per_class).collect())
 
 
 def score(
@@ -262,10 +271,11 @@ def score(
     kept_words: int = 150_000,
     seed: int = 5,
 ) -> DataFrame:
-    """docs with _score. A task keeps the inputs of up to kept_words distinct words at a time."""
+    """docs with _score, the last column. A task keeps the inputs of up to kept_words distinct words at a time."""
+    name = unused(docs.columns, "_score")
     model = train(sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, per_class, max_chars), grams, width, hidden, window, epochs, windows_up, seed)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -291,7 +301,7 @@ def score(
                 if len(number) > kept_words:
                     number, projected = defaultdict(count().__next__), None
                 begin = end
-            yield batch.append_column("_score", pa.array(out, pa.float64()))
+            yield batch.append_column(name, pa.array(out, pa.float64()))
 
     return docs.mapInArrow(judged, schema)
 
