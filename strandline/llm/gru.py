@@ -9,8 +9,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
-def forward(inputs, steps: int, u: np.ndarray, reverse: bool, keep: bool = False):
-    """States [steps, batch, hidden] of one direction. inputs(t): the step's projected input [batch, 3 * hidden] for update, reset and new state."""
+def hard_sigmoid(x: np.ndarray) -> np.ndarray:
+    """The straight line that meets the sigmoid in 0, held between 0 and 1."""
+    return np.clip(x * np.float32(0.25) + np.float32(0.5), 0, 1)
+
+
+def forward(inputs, steps: int, u: np.ndarray, reverse: bool, keep: bool = False, hard: bool = False):
+    """States [steps, batch, hidden] of one direction. inputs(t): the step's projected input [batch, 3 * hidden] for update, reset and new state. hard: gates by hard_sigmoid."""
     hidden = u.shape[0]
     h = out = None
     tape = []
@@ -20,7 +25,7 @@ def forward(inputs, steps: int, u: np.ndarray, reverse: bool, keep: bool = False
             h = np.zeros((len(x), hidden), np.float32)
             out = np.empty((steps, len(x), hidden), np.float32)
         a = h @ u
-        gates = sigmoid(x[:, : 2 * hidden] + a[:, : 2 * hidden])
+        gates = (hard_sigmoid if hard else sigmoid)(x[:, : 2 * hidden] + a[:, : 2 * hidden])
         z, r = gates[:, :hidden], gates[:, hidden:]
         n = np.tanh(x[:, 2 * hidden :] + r * a[:, 2 * hidden :])
         if keep:
@@ -30,17 +35,18 @@ def forward(inputs, steps: int, u: np.ndarray, reverse: bool, keep: bool = False
     return out, tape
 
 
-def backward(d_out: np.ndarray, tape, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def backward(d_out: np.ndarray, tape, u: np.ndarray, hard: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the projected inputs [steps, batch, 3 * hidden] and of u."""
     steps, batch, hidden = d_out.shape
     d_in = np.empty((steps, batch, 3 * hidden), np.float32)
     d_u = np.zeros_like(u)
     d_h = np.zeros((batch, hidden), np.float32)
+    slope = (lambda g: ((g > 0) & (g < 1)) * np.float32(0.25)) if hard else (lambda g: g * (1 - g))
     for t, before, z, r, n, a in reversed(tape):
         d_h = d_h + d_out[t]
         d_n = d_h * (1 - z) * (1 - n * n)
-        d_z = d_h * (before - n) * z * (1 - z)
-        d_r = d_n * a * r * (1 - r)
+        d_z = d_h * (before - n) * slope(z)
+        d_r = d_n * a * slope(r)
         d_in[t] = np.concatenate((d_z, d_r, d_n), axis=1)
         d_a = np.concatenate((d_z, d_r, d_n * r), axis=1)
         d_u += before.T @ d_a
