@@ -7,14 +7,16 @@ or main element, or that holds body, main or the page's first article; nor does
 region of the highest sum; its blocks, without those that stand in such parts, are the text. A page without a region is read again with these
 class and id names taken for nothing. Scripts, styles and other raw text are never words.
 
-Weights are log odds of standing in the content, from at most sample_pages labelled pages (by hash of page_id and url, html of at most max_chars
-characters): pages with one article or main element, whose content is taken as the label. Places that the sample hasn't
-count as a few words of content, or of none for the parts above.
+Weights are log odds of standing in the content, counted over about sample_pages pages (by hash of the html, whole): of these, pages with one article or
+main element teach, whose content is taken as the label. Places that the sample hasn't count as a few words of content, or of none for the parts above.
 
 Blocks are text between block elements; character references are decoded, white space becomes one space, ends are trimmed, and blocks are joined by an empty line.
 
+A tag ends at the first > outside quotes; where quotes don't end, at the first >; a tag that never ends takes the rest of the page with it, as in browsers. Reading
+takes time in proportion to the page.
+
 Defined results: null or empty html, or none that scores over 0, has an empty text; repeated rows each get a row; an empty table gives
-no rows.
+no rows; other columns stay as they are, and where one is called _text the new one gets underscores after that name: it is always the last.
 """
 
 from __future__ import annotations
@@ -30,9 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, table
+from .common import bounded_sample, table, unused
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
+#: A comment, a declaration, or a tag up to its name.
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+QUOTE_OR_END = re.compile("[>\"']")
+#: The values of class, id and role.
+NAMES = re.compile(r"""(?i)(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*))""")
 RAW = frozenset("script style noscript template svg math iframe object textarea select option canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -41,13 +47,38 @@ BLOCK = frozenset(
 APART = frozenset("nav header footer aside form menu button label legend fieldset dialog title head".split())
 #: Elements that hold a page or its content as a whole.
 WHOLE = frozenset("html head body article main".split())
-CUE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*[\"']?[^\"'>]*?\b(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|comments?|respond|replies|sidebar|menu|nav\w*|navigation|breadcrumbs?|header|footer|related|pagination)\b")
+CUE = re.compile(r"(?i)\b(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|comments?|respond|replies|sidebar|menu|nav\w*|navigation|breadcrumbs?|header|footer|related|pagination)\b")
 #: Names of a page's layout, which say what it has or lacks beside its content.
 LAYOUT = re.compile(r"(?i)\b(?:no|has|have|with|without|hide|show)[-_]+(?:[a-z0-9]+[-_]+)*[a-z0-9]+")
 #: An element that ends when one of these begins.
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+class Tags:
+    """Ends of a page's tags."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at `at`, or -1."""
+        k = at
+        while self.quotes:
+            m = QUOTE_OR_END.search(self.page, k)
+            if m and m[0] == ">":
+                return m.start()
+            close = self.page.find(m[0], m.end()) if m else -1
+            if close < 0:
+                # Quotes that don't end, once found, mean nothing in the rest of the page: so no place is looked at many times.
+                self.quotes = False
+            k = close + 1
+        return self.page.find(">", at)
+
+
+def cued(attributes: str) -> bool:
+    return any(CUE.search(LAYOUT.sub("", a or b or c)) for a, b, c in NAMES.findall(attributes))
+
+
 def read(page: str, cues: bool = True) -> list[tuple[str, str, str]]:
     """(tag, name, place) for tags and (text, place, text) for text nodes, in order. Names of end tags begin with /. Without cues, class, id and role say nothing."""
     out, holders = _read(page, cues, frozenset())
@@ -60,16 +91,16 @@ def _read(page: str, cues: bool, plain: frozenset[int]) -> tuple[list[tuple[str,
     stack: list[tuple[str, str]] = [("", "body")]  # name, and the place that words in it have
     opened: dict[str, list[int]] = {}  # by name, the elements of stack
     blocks: list[int] = []  # the block elements of stack
-    cued: list[tuple[int, int]] = []  # cue elements: their place in stack, and where they begin
+    cues_open: list[tuple[int, int]] = []  # cue elements: their place in stack, and where they begin
     holders: list[int] = []
     articles = 0
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), Tags(page)
 
     def close(k: int) -> None:
         for name, _ in reversed(stack[k:]):
             opened[name].pop()
         del stack[k:]
-        for places in (blocks, cued):
+        for places in (blocks, cues_open):
             while places and (places[-1] if places is blocks else places[-1][0]) >= k:
                 places.pop()
 
@@ -78,12 +109,19 @@ def _read(page: str, cues: bool, plain: frozenset[int]) -> tuple[list[tuple[str,
             out.append(("text", stack[-1][1], s))
 
     while at < n:
-        m = TAG.search(page, at)
+        m = OPEN.search(page, at)
         if not m:
             text(page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = end + 3 if end >= 0 else n
+            continue
+        end = tags.end(m.end()) if m[2] else page.find(">", m.end())
+        if end < 0:
+            break
+        at, attributes = end + 1, page[m.end() : end]
         if not m[2]:
             continue
         name = m[2].lower()
@@ -93,7 +131,7 @@ def _read(page: str, cues: bool, plain: frozenset[int]) -> tuple[list[tuple[str,
                 close(opened[name][-1])
             continue
         out.append(("tag", name, stack[-1][1]))
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
@@ -103,14 +141,14 @@ def _read(page: str, cues: bool, plain: frozenset[int]) -> tuple[list[tuple[str,
             close(blocks[-1])
         place = stack[-1][1]
         articles += name == "article"
-        if cued and place[0] == "!" and (name in ("body", "main") or name == "article" and articles == 1):
-            holders += [begin for _, begin in cued]
-            cued.clear()
-        cue = cues and m[3] and name not in WHOLE and name not in APART and m.start() not in plain and CUE.search(LAYOUT.sub("", m[3]))
+        if cues_open and place[0] == "!" and (name in ("body", "main") or name == "article" and articles == 1):
+            holders += [begin for _, begin in cues_open]
+            cues_open.clear()
+        cue = cues and attributes and name not in WHOLE and name not in APART and m.start() not in plain and cued(attributes)
         if place[0] != "!":
             place = "!" + name if name in APART else "!cue" if cue else name if name in BLOCK else place
         if cue:
-            cued.append((len(stack), m.start()))
+            cues_open.append((len(stack), m.start()))
         if name in BLOCK:
             blocks.append(len(stack))
         opened.setdefault(name, []).append(len(stack))
@@ -127,19 +165,22 @@ def labelled(tokens: list[tuple[str, str, str]]) -> range | None:
     return None
 
 
-def learn(pages: list[str]) -> tuple[dict[str, float], dict[str, float], float]:
-    """Weights of words by place and of tags by name, and that of an unknown tag."""
-    words, tags = (Counter(), Counter()), (Counter(), Counter())
-    for page in pages:
-        tokens = read(page)
-        inside = labelled(tokens)
-        if inside is None:
-            continue
+def counts(page: str) -> Counter:
+    """Of a page with a label: words by place and tags by name, inside its content and outside: (what, inside, name) with their number."""
+    tokens = read(page)
+    inside, out = labelled(tokens), Counter()
+    if inside is not None:
         for k, (kind, name, s) in enumerate(tokens):
             if kind == "text":
-                words[k in inside][name] += len(s.split())
+                out["word", k in inside, name] += len(s.split())
             elif s[0] != "!":
-                tags[k in inside][name] += 1
+                out["tag", k in inside, name] += 1
+    return out
+
+
+def weights_of(total: Counter) -> tuple[dict[str, float], dict[str, float], float]:
+    """Weights of words by place and of tags by name, and that of an unknown tag."""
+    words, tags = ({inside: Counter({n: k for (w, i, n), k in total.items() if w == what and i == inside}) for inside in (False, True)} for what in ("word", "tag"))
     place = {p: float(np.clip(np.log((words[1][p] + (1 if p[0] == "!" else 5)) / (words[0][p] + (5 if p[0] == "!" else 1))), -0.5 if p[0] == "!" else -4, 4)) for p in {*words[0], *words[1]}}
     tag = {}
     for t in {*tags[0], *tags[1]} - {x for r in RAW for x in (r, "/" + r)}:
@@ -149,6 +190,22 @@ def learn(pages: list[str]) -> tuple[dict[str, float], dict[str, float], float]:
     return place, tag, -0.3
 
 
+def learn(pages: DataFrame, sample_pages: int) -> tuple[dict[str, float], dict[str, float], float]:
+    """The weights, counted where the pages are; a row a name comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for h in batch.column("html"):
+                total.update(counts(h.as_py()))
+        what, inside, name = (pa.array([k[i] for k in total], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string())))
+        yield pa.RecordBatch.from_arrays([what, inside, name, pa.array(list(total.values()), pa.int64())], names=["what", "inside", "name", "n"])
+
+    sample = bounded_sample(pages.where(F.length("html") > 0).select("html"), sample_pages)
+    sums = sample.mapInArrow(count, "what string, inside boolean, name string, n long").groupBy("what", "inside", "name").agg(F.sum("n").alias("n")).collect()
+    return weights_of(Counter({(r["what"], r["inside"], r["name"]): r["n"] for r in sums}))
+
+
 def weight_of(tag: dict[str, float], unknown: float, name: str, place: str) -> float:
     return -0.05 if place[0] == "!" or name.lstrip("/") in RAW else tag.get(name, unknown)
 
@@ -193,16 +250,15 @@ def extract(page: str | None, weights: tuple[dict[str, float], dict[str, float],
     return "\n\n".join(b for b in blocks if b)
 
 
-def main_text(pages: DataFrame, sample_pages: int = 500, max_chars: int = 100_000) -> DataFrame:
-    """pages with _text."""
-    usable = pages.where(F.length("html").between(1, max_chars)).select("page_id", "url", "html")
-    sample = sorted(r["html"] for r in bounded_sample(usable, sample_pages, "page_id", "url").collect())
-    sent = pages.sparkSession.sparkContext.broadcast(learn(sample))
-    schema = T.StructType([*pages.schema.fields, T.StructField("_text", T.StringType())])
+def main_text(pages: DataFrame, sample_pages: int = 500) -> DataFrame:
+    """pages with _text, the last column."""
+    sent = pages.sparkSession.sparkContext.broadcast(learn(pages, sample_pages))
+    name = unused(pages.columns, "_text")
+    schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("_text", pa.array([extract(h.as_py(), sent.value) for h in batch.column("html")], pa.string()))
+            yield batch.append_column(name, pa.array([extract(h.as_py(), sent.value) for h in batch.column("html")], pa.string()))
 
     return pages.mapInArrow(extracted, schema)
 

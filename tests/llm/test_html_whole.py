@@ -1,11 +1,14 @@
 """Pages whose whole text was once left out."""
 
+import time
+from collections import Counter
+
 import pytest
 
 from strandline.llm import html_text
 
 PAGE = '<html><body><nav><a>home</a></nav><div class="ad">Buy now</div><article><h1>Head</h1><p>one two three</p></article><div class="comments"><p>nice</p></div></body></html>'
-WEIGHTS = html_text.learn([PAGE] * 3)
+WEIGHTS = html_text.weights_of(sum((html_text.counts(PAGE) for _ in range(3)), Counter()))
 TEXT = "Head\n\none two three"
 
 
@@ -34,3 +37,17 @@ def test_cue_elements_beside_the_article_go():
 
 def test_many_open_elements_take_linear_time():
     assert html_text.extract("<b>" * 50_000 + "</i>" * 50_000 + "<p>one two" + "</b>" * 50_000, WEIGHTS) == "one two"
+
+
+@pytest.mark.parametrize("bad", ["<a ", "<a b='", "<a 'b\"", "<!", "<a class=", "<a class=x id=\"", "<!--", "<p title='>"])
+def test_hostile_tags_take_linear_time(bad):
+    began = time.time()
+    html_text.extract("<article><p>one two three</p></article>" + bad * (3_000_000 // len(bad)), WEIGHTS)
+    html_text.extract("<a " + bad * 100_000 + ">", WEIGHTS)
+    assert time.time() - began < 30
+
+
+def test_a_tag_that_never_ends_takes_the_rest():
+    assert html_text.extract("<article><p>one two three</p><p>four</p><a href='x <b", WEIGHTS) == "one two three\n\nfour"
+    assert html_text.extract('<article><p>one two three <a title="it>four</a></p></article>', WEIGHTS) == "one two three four"
+    assert html_text.extract("<article><p>it's 3 < 4 and 5 > 4</p></article>", WEIGHTS) == "it's 3 < 4 and 5 > 4"
