@@ -8,11 +8,12 @@ confidence implies. The rest are matched by an inverted index: each rule is post
 the urls without a listed rule look the postings up, and a rule fires where the url has all its tokens. The firing rule
 of the highest confidence, then support, decides; where none fires, `otherwise`.
 
-Mining learns from about sample_urls labelled urls at most (by hash) and their first max_tokens tokens; matching covers all urls
-and all tokens.
+Mining learns from about sample_urls distinct labelled urls (by hash) and all their tokens: tokens under the support go first, and of tokens that stand in
+just the same urls one stands for all, so that a long part that many urls share is one item; a rule found holds for each that its tokens stand for. Matching
+covers all urls and all tokens.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and gets `otherwise`;
-repeated rows each get a row; an empty table gives no rows.
+repeated rows each get a row; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -60,15 +61,24 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, sample_urls: int, max_tokens: int) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, sample_urls: int) -> DataFrame:
     """Rules (tokens, verdict, confidence, support) from labelled (url, tokens, verdict)."""
     marks = F.concat(F.lit("verdict:"), "verdict")
-    sample = bounded_sample(labelled, sample_urls, "url").select(F.array_append(F.slice("tokens", 1, max_tokens), marks).alias("items"))
+    sampled = written(bounded_sample(labelled, sample_urls), "sampled")
+    least = min_support * sampled.count()
+    tokens = sampled.select("url", F.explode("tokens").alias("token"))
+    # Tokens of the same urls: as many, and with equal sums of two hashes of these.
+    seen = tokens.groupBy("token").agg(F.count("*").alias("n"), *(F.sum(F.shiftright(F.xxhash64("url", F.lit(k)), 24)).alias(f"of{k}") for k in (1, 2))).where(F.col("n") >= least)
+    stands = written(seen.join(seen.groupBy("n", "of1", "of2").agg(F.min("token").alias("stand")), ["n", "of1", "of2"]).select("token", "stand"), "stands")
+    items = tokens.join(stands.where("token = stand"), "token").groupBy("url").agg(F.collect_set("token").alias("items"))
+    sample = sampled.join(items, "url", "left").select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), marks).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sample)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("verdict:")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("verdict:"))))
     rules = found.select(
-        F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")
-    ).withColumn("text", F.array_join("tokens", " "))
+        F.col("antecedent").alias("found"), F.explode("antecedent").alias("stand"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")
+    ).join(stands, "stand")
+    named = F.array_sort(F.transform("found", lambda t: F.when(t == F.col("stand"), F.col("token")).otherwise(t)))
+    rules = rules.select(named.alias("tokens"), "verdict", "confidence", "support").distinct().withColumn("text", F.array_join("tokens", " "))
     rules = written(rules, "rules")
     shorter = rules.select(F.col("tokens").alias("less"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
     # Implied by a rule of fewer tokens: looked up through each rule's own tokens, as every implying rule shares one.
@@ -88,7 +98,6 @@ def judge(
     min_support: float = 0.002,
     min_confidence: float = 0.8,
     sample_urls: int = 100_000,
-    max_tokens: int = 12,
     otherwise: str = "allow",
 ) -> DataFrame:
     """page_id, url, host, path, rule, verdict, mined (the tokens of the mined rule that decided) for each row of pages."""
@@ -101,7 +110,7 @@ def judge(
     labelled = urls.where("listed is not null").select("url", "tokens", F.col("listed").alias("verdict"))
     if labelled.isEmpty():
         return parsed.select("page_id", "url", "host", "path", "rule", F.coalesce("listed", F.lit(otherwise)).alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    mined = written(mine(labelled, min_support, min_confidence, sample_urls, max_tokens), "mined")
+    mined = written(mine(labelled, min_support, min_confidence, sample_urls), "mined")
     seen = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
     posted = (
         mined.withColumn("rule_text", F.concat_ws(" ", "tokens")).withColumn("token", F.explode("tokens"))
