@@ -14,7 +14,8 @@ Words are runs of digits, a-z after lower-casing A-Z, and characters above 0x7F.
 
 Defined results: null or empty text has no words, no hits and stays as it is; repeated rows each get a row; null or empty benchmark texts have
 no windows; an empty table or benchmark gives no hits; a document of over shard_words words is a shard of its own. Items with a null item_id are searched
-like others: together they count as one item of n_items, which has no part in items_sha256.
+like others: together they count as one item of n_items, which has no part in items_sha256. Other columns stay as they are, and where one is called _n_words,
+_spans or _items the new one gets underscores after that name: they are always the last three.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .common import table
+from .common import table, unused
 from .fmindex import FMIndex
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -157,11 +158,11 @@ def blocks(phrases: DataFrame, block_windows: int) -> list[DataFrame]:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000, block_windows: int = 500_000) -> DataFrame:
-    """docs with _n_words, _spans (merged, of words) and _items (item_ids found, sorted; a null last for items without one)."""
+    """docs with _n_words, _spans (merged, of words) and _items (item_ids found, sorted; a null last for items without one), the last three columns."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     phrases = written(windows_of(benchmark, window), "windows")
-    found = [T.StructField("_n_words", T.LongType()), T.StructField("_spans", SPANS), T.StructField("_items", T.ArrayType(T.StringType()))]
+    found = [T.StructField(unused(docs.columns, c), t) for c, t in (("_n_words", T.LongType()), ("_spans", SPANS), ("_items", T.ArrayType(T.StringType())))]
     schema = T.StructType([*docs.schema.fields, *found])
 
     def answered(rows: pa.Table, n_words, spans, items) -> Iterator[pa.RecordBatch]:
@@ -227,19 +228,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs with the spans found cut from their texts; a document of which no word is left goes."""
-    columns = docs.columns
+    judged = judge(docs, benchmark, **parameters)
+    n_words, spans = judged.columns[-3:-1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 removed(t.encode(), [(x["start"], x["end"]) for x in s]).decode() if s else t
-                for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)
+                for t, s in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist(), strict=True)
             ]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
 
-    judged = judge(docs, benchmark, **parameters)
-    left = F.aggregate("_spans", F.col("_n_words"), lambda n, s: n - (s["end"] - s["start"]))
-    return judged.where((F.size("_spans") == 0) | (left > 0)).mapInArrow(cut, judged.schema).select(*columns)
+    left = F.aggregate(spans, F.col(n_words), lambda n, s: n - (s["end"] - s["start"]))
+    return judged.where((F.size(spans) == 0) | (left > 0)).mapInArrow(cut, judged.schema).select(*docs.columns)
 
 
 def op10_decontamination(spark, sf_dir) -> DataFrame:

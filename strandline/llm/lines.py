@@ -14,7 +14,7 @@ Exact copies of a whole document would make all their lines frequent, so a host'
 the text's hash stands for the document. A host's documents, of which max_share is a share, are its distinct texts that have a counted line.
 
 Defined results: null or empty text has no words and fails; repeated rows each get a row; a null host is a host of its own; an
-empty table gives no rows.
+empty table gives no rows; other columns are not looked at, and clean gives them back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import SPACE, ascii_lower, let, table, words
+from .common import SPACE, ascii_lower, let, table, unused, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -103,7 +103,7 @@ def frequent(mine: DataFrame, texts: DataFrame, max_docs: int, max_share: float)
 def judge(
     docs: DataFrame, host: str = "source", min_words: int = 20, max_repeat: int = 30, min_line: int = 1, max_docs: int = 20, min_left: float = 0.5, max_share: float = 0.05
 ) -> DataFrame:
-    """doc_id, the base counts, base_failed, removed_words, removed_lines, kept for each row of docs."""
+    """doc_id, host and text_hash (which say whose lines were counted together), the base counts, base_failed, removed_words, removed_lines, kept for each row of docs."""
     ruled = written(base_rules(docs, host, min_words, max_repeat), "lines")
     long_lines = F.filter("lines", lambda l: l["words"] >= min_line)
     # One row a distinct text of a host, from all rows, failed ones included; each of its distinct lines once.
@@ -115,23 +115,25 @@ def judge(
         ruled.join(lost, ["host", "text_hash"], "left")
         .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("removed_words", "removed_lines")})
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= min_left * F.col("n_words")))
-        .drop("host", "text_hash", "lines")
+        .drop("lines")
     )
 
 
 def clean(docs: DataFrame, host: str = "source", min_line: int = 1, max_docs: int = 20, max_share: float = 0.05, **parameters) -> DataFrame:
     """docs that judge keeps, their texts without the lines that too many documents of their host share."""
-    key = F.coalesce(F.concat(F.lit("h"), host), F.lit("n"))
+    own_host, own_text, gone = (unused(docs.columns, c) for c in ("own_host", "own_text", "gone"))
     hashed = lambda l: F.xxhash64(normalised(l))
     long_line = lambda l: F.size(F.array_remove(F.split(l, SPACE + "+"), "")) >= min_line
-    kept = judge(docs, host, min_line=min_line, max_docs=max_docs, max_share=max_share, **parameters).where("kept").select("doc_id").distinct()
-    rows = docs.withColumns({"_host": key, "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    mine = rows.select("_host", "_hash", F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), long_line), hashed))).alias("_line")).distinct()
-    named = mine.withColumnsRenamed({"_host": "host", "_hash": "text_hash", "_line": "hash"})
-    shared = frequent(named, named.select("host", "text_hash").distinct(), max_docs, max_share).withColumnsRenamed({"host": "_host", "hash": "_line"})
-    gone = mine.join(shared, ["_host", "_line"]).groupBy("_host", "_hash").agg(F.collect_set("_line").alias("_gone"))
-    without = F.array_join(F.filter(F.split("text", "\n"), lambda l: ~(F.coalesce(F.array_contains(F.col("_gone"), hashed(l)), F.lit(False)) & long_line(l))), "\n")
-    return rows.join(gone, ["_host", "_hash"], "left").join(kept, "doc_id", "left_semi").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(without)).select(*docs.columns)
+    key, text = F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("n")), F.xxhash64(F.coalesce("text", F.lit("")))
+    # A verdict is of a host's text: rows of one doc_id with several texts are judged each on its own.
+    kept = written(judge(docs, host, min_line=min_line, max_docs=max_docs, max_share=max_share, **parameters).where("kept").select("host", "text_hash").distinct(), "kept")
+    mine = docs.select(key.alias("host"), text.alias("text_hash"), F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), long_line), hashed))).alias("hash")).distinct()
+    shared = frequent(mine, mine.select("host", "text_hash").distinct(), max_docs, max_share)
+    lost = mine.join(shared, ["host", "hash"]).groupBy("host", "text_hash").agg(F.collect_set("hash").alias("lines"))
+    plan = kept.join(lost, ["host", "text_hash"], "left").select(F.col("host").alias(own_host), F.col("text_hash").alias(own_text), F.col("lines").alias(gone))
+    without = F.array_join(F.filter(F.split("text", "\n"), lambda l: ~(F.array_contains(F.col(gone), hashed(l)) & long_line(l))), "\n")
+    rows = docs.join(plan, (key == F.col(own_host)) & (text == F.col(own_text)))
+    return rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(without)).select(*docs.columns)
 
 
 def op8_lines(spark, sf_dir) -> DataFrame:

@@ -10,7 +10,8 @@ thousands for a source however many documents it has, are summed along the sourc
 Going by strata also keeps each source's words near its target.
 
 Defined results: null or empty text has size 0 and takes 0 words; a null source is a source of its own, last in order;
-repeated rows are sampled each on its own; ties are in the order of the hash of doc_id; an empty table gives no rows.
+repeated rows are sampled each on its own; ties are in the order of the hash of doc_id; an empty table gives no rows; other columns are not looked at. expand
+gives them back as they are, and where one is called copy_no the new one gets underscores after that name: it is always the last.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import words
+from .common import unused, words
 
 
 def allocate(sizes: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float) -> DataFrame:
@@ -50,8 +51,8 @@ def allocate(sizes: DataFrame, weights: tuple[float, ...], share: float, max_rep
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_repeat: float = 2.0, seed: str = "mix-1") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs."""
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
+    """doc_id, source, size, source_size, target, copies, taken, text_hash for each row of docs."""
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     dealt = written(
         sized.withColumn("key", key)
@@ -81,14 +82,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         .join(groups, group)
         .withColumn("at", F.col("at") + F.col("before"))
         .withColumn("copies", crossed(F.col("at")) - crossed(F.col("at") - 1))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "text_hash")
     )
 
 
 def expand(docs: DataFrame, **parameters) -> DataFrame:
-    """The mixed corpus: each row of docs, once for each copy, with copy_no from 0. Rows that share a doc_id share the most copies of one of them."""
-    plan = mix(docs, **parameters).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("copy_no", F.explode(F.expr("sequence(0, int(_copies) - 1)"))).select(*docs.columns, "copy_no")
+    """The mixed corpus: each row of docs, once for each copy, with copy_no from 0 as the last column.
+
+    Rows that share doc_id, source and text are one: the copies of all are numbered on, and are those of any one of them.
+    """
+    name = unused(docs.columns, "copy_no")
+    doc, source, text, copies, rows, block = (unused([*docs.columns, name], c) for c in ("of_doc", "of_source", "of_text", "copies", "rows", "block"))
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    plan = written(
+        mix(docs, **parameters).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+        .select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("text_hash").alias(text), copies, rows),
+        "copies",
+    )
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (hashed == F.col(text))
+    once = docs.join(plan.where(F.col(rows) == 1), same)
+    again = docs.join(plan.where(F.col(rows) > 1), same).dropDuplicates([doc, source, text])
+    # Numbers are made in two steps, so that no array grows with the copies of one row.
+    size = 1000
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / size)))
+    number = F.explode(F.sequence((F.col(block) * size).cast("int"), F.least(F.col(copies) - 1, F.col(block) * size + size - 1).cast("int")))
+    return once.unionByName(again).withColumn(block, blocks).withColumn(name, number).select(*docs.columns, name)
 
 
 def op4_mixing(spark, sf_dir) -> DataFrame:

@@ -9,7 +9,8 @@ a base span, are suppressed.
 Spans are (kind, start, end) in code points, end exclusive. Java's regular expressions walk the text once for the pieces
 between matches and once for the matches; lengths added up in turn give the places.
 
-Defined results: a null or empty text has no spans; repeated rows each get a row; an empty table gives no rows.
+Defined results: a null or empty text has no spans; repeated rows each get a row; an empty table gives no rows; other columns stay as they are, and where
+one is called base or spans the new one gets underscores after that name: they are always the last two.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, table, unused
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -84,7 +85,7 @@ def peak_entropy(run: Column, window: int) -> Column:
 
 
 def scan(docs: DataFrame, window: int = 20, limits: dict = LIMITS, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """docs with base (the base spans) and spans (base and added ones), each by start, then kind as listed."""
+    """docs with base (the base spans) and spans (base and added ones), the last two columns, each by start, then kind as listed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rank = lambda s: F.struct(s["start"], F.array_position(F.array(*map(F.lit, ("assign", "access", "hex", "entropy"))), s["kind"]).alias("rank"), s["end"], s["kind"])
     plain = lambda spans: F.transform(F.array_sort(F.transform(spans, rank)), lambda s: F.struct(s["kind"], s["start"], s["end"]))
@@ -104,24 +105,24 @@ def scan(docs: DataFrame, window: int = 20, limits: dict = LIMITS, allow: tuple[
         return F.filter(runs, lambda s: free(s) & ~listed(s) & (peak_entropy(s["body"], window) >= F.element_at(limit, class_of(s["body"]))))
 
     both = let(text, lambda t: let(base_spans(t), lambda base: F.struct(plain(base).alias("base"), plain(F.concat(base, added(t, base))).alias("spans"))))
-    return docs.withColumn("_found", both).withColumns({"base": F.col("_found.base"), "spans": F.col("_found.spans")}).drop("_found")
+    pair = unused(docs.columns, "pair")
+    names = {unused([*docs.columns, pair], c): F.col(pair)[c] for c in ("base", "spans")}
+    return docs.withColumn(pair, both).withColumns(names).drop(pair)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", **parameters) -> DataFrame:
     """docs with every span of text, overlapping ones joined, put as mask; a text without spans, or null, stays as it is."""
-    columns = docs.columns
+    out = scan(docs, **parameters)
+    spans = F.col(out.columns[-1])
     cut = F.aggregate(
-        "spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda s, x: F.when(x["end"] <= s["at"], s)
         .when(x["start"] < s["at"], F.struct(s["out"].alias("out"), x["end"].alias("at")))
         .otherwise(F.struct(F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask)).alias("out"), x["end"].alias("at"))),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
-    # A word of the wanted name that the input already has is kept from clashing.
-    named = docs.withColumnsRenamed({c: f"_own_{c}" for c in ("base", "spans") if c in columns})
-    out = scan(named, **parameters).withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).drop("base", "spans")
-    return out.withColumnsRenamed({f"_own_{c}": c for c in ("base", "spans") if c in columns}).select(*columns)
+    return out.withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op6_secrets(spark, sf_dir) -> DataFrame:

@@ -147,7 +147,7 @@ def test_near_duplicates_against_brute_force(spark):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    for parameters in ({}, {"block": 4, "buckets": 1 << 10}, {"send_rows": 0}):
+    for parameters in ({}, {"block": 4, "buckets": 1 << 10}, {"send_rows": 0, "held": 500}):
         got = {r.doc_id: (r.n, r.root) for r in near.join(docs, **parameters).collect()}
         assert got == {k: (len(sets[k]), root[k]) for k in range(len(texts))}
 
@@ -161,9 +161,9 @@ def test_tree_pairs_lose_nothing():
         for x in s:
             bits[k, x % 512 >> 6] |= np.uint64(1) << np.uint64(x % 64)
     n, own = np.array([len(s) for s in sets]), np.arange(len(sets))
-    x, y = near.tree_pairs(n, own, own, bits, 80, False)
-    found = {frozenset(p) for p in zip(x.tolist(), y.tolist(), strict=True)}
-    assert {frozenset((i, j)) for i in own for j in own if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} <= found
+    for slice_pairs in (8192, 3):
+        found = {frozenset(p) for x, y in near.tree_pairs(n, own, bits, 80, slice_pairs) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        assert {frozenset((i, j)) for i in own for j in own if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} <= found
 
 
 def test_fm_index_against_scan():
@@ -210,7 +210,7 @@ def test_line_rules(spark):
 
 def test_html():
     page = '<html><head><title>T</title><script>x="<p>";</script></head><body><nav><a>home</a></nav><div class="ad">Buy now</div><article><h1>Head</h1><p>one  two &amp; <b>three</b><p>four<br>five<ul><li>item</ul><aside>not this</aside></article><div class="comments"><p>nice post</p></div><footer>&copy;</footer></body></html>'
-    weights = html_text.learn([page] * 3)
+    weights = html_text.weights_of(sum((html_text.counts(page) for _ in range(3)), Counter()))
     assert html_text.extract(page, weights) == "Head\n\none two & three\n\nfour five\n\nitem"
     assert html_text.extract(None, weights) == html_text.extract("<p>", weights) == ""
     rng = np.random.default_rng(2)
