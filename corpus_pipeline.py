@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and reads it as the next
 one's docs. All but the last return the columns of documents. Nulls, empty tables, repeated rows and extra columns are as the
-operators define them; extra columns are carried along.
+operators define them; extra columns are carried along as they are, whatever their names, and where one is called copy_no mixing's gets underscores after that.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score 0.5 or more."""
     learned_from = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 0
-    return toxicity.score(docs, table(spark, sf_dir, "labels"), may_learn=learned_from).where("_score < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), may_learn=learned_from)
+    return scored.where(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
