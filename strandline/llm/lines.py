@@ -140,3 +140,29 @@ def op8_lines(spark, sf_dir) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "removed_lines"
     )
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce('h' || source, 'n') AS host, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+windows AS (SELECT row, i, array_to_string(words[i:i + 7], ' ') AS win FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS place FROM twice) GROUP BY row),
+base AS (
+  SELECT w.row, doc_id, host, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN repeats USING (row)),
+texts AS (SELECT host, text, any_value(lines) AS lines FROM w WHERE len(lines) > 0 GROUP BY host, text),
+lines AS (
+  SELECT host, text, trim(regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line,
+         len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT host, text, unnest(lines) AS l FROM texts)),
+mine AS (SELECT host, text, line, sum(n) AS words, count(*) AS times FROM lines GROUP BY ALL),
+hosts AS (SELECT host, count(*) * 0.05::DOUBLE AS most FROM texts GROUP BY host),
+shared AS (SELECT host, line FROM mine JOIN hosts USING (host) GROUP BY host, line, most HAVING count(*) > 20 AND (most <= 20 OR count(*) > most)),
+lost AS (SELECT host, text, sum(words) AS words, sum(times) AS lines FROM mine JOIN shared USING (host, line) GROUP BY host, text)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - coalesce(words, 0) >= 0.5 * n_words AS kept,
+       CAST(coalesce(words, 0) AS BIGINT) AS removed_words, CAST(coalesce(lines, 0) AS BIGINT) AS removed_lines
+FROM base LEFT JOIN lost USING (host, text)
+"""

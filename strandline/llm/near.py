@@ -493,3 +493,21 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
 
 def op3_near_duplicates(spark, sf_dir) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+cut AS (SELECT row, doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0),
+shingles AS (SELECT DISTINCT row, doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM cut),
+sizes AS (SELECT row, doc_id, count(*) AS n, md5(string_agg(shingle, '  ' ORDER BY shingle)) AS set FROM shingles GROUP BY row, doc_id),
+classes AS (SELECT set, any_value(n) AS n, min(row) AS row FROM sizes GROUP BY set),
+own AS (SELECT c.set, c.n, s.shingle FROM classes c JOIN shingles s USING (row)),
+pairs AS (SELECT a.set AS a, b.set AS b FROM own a JOIN own b ON a.shingle = b.shingle AND a.set < b.set GROUP BY a.set, b.set, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+nodes AS (SELECT DISTINCT set, CAST(doc_id AS VARCHAR) AS doc FROM sizes),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT x.set, y.set FROM nodes x JOIN nodes y ON x.doc = y.doc AND x.set <> y.set),
+reach AS (SELECT set AS a, set AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+roots AS (SELECT r.a AS set, min(s.doc_id) AS root FROM reach r JOIN sizes s ON s.set = r.b GROUP BY r.a)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, CASE WHEN s.n IS NULL THEN w.doc_id ELSE root END AS component_id
+FROM w LEFT JOIN sizes s USING (row) LEFT JOIN roots USING (set)
+"""

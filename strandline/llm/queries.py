@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 SQL = {
-    "op10_decontamination": decontamination.SQL,
+    "op3_near_duplicates": near.SQL,
     "op4_mixing": mixing.SQL,
+    "op6_secrets": secrets.SQL,
+    "op8_lines": lines.SQL,
+    "op10_decontamination": decontamination.SQL,
 }

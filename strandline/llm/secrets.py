@@ -129,3 +129,44 @@ def op6_secrets(spark, sf_dir) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _spans_sql(name: str, pattern: str, kind: str, rank: int, group: int, fits: str) -> str:
+    """Common table expressions that end in `name` (row, text, body, b, e, kind, rank): the matches of pattern in d, with places."""
+    return f"""
+{name}_cut AS (SELECT row, text, string_split_regex(text, '{pattern}') AS pieces, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {group}) AS bodies FROM d WHERE regexp_matches(text, '{pattern}')),
+{name}_each AS (SELECT row, text, unnest(range(1, len(hits) + 1)) AS k, pieces, hits, bodies FROM {name}_cut),
+{name} AS (
+  SELECT row, text, bodies[k] AS body, b, b + length(hits[k]) AS e, '{kind}' AS kind, {rank} AS rank
+  FROM (SELECT *, CAST(length(array_to_string(pieces[1:k], '')) + length(array_to_string(hits[1:k - 1], '')) AS BIGINT) AS b FROM {name}_each) WHERE {fits.replace('body', 'bodies[k]')}),"""
+
+
+def _sql() -> str:
+    quoted = lambda s: s.replace("'", "''")
+    limits = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in LIMITS.items())
+    allowed = " OR ".join(f"contains(body, '{a}')" for a in ALLOW)
+    spans = "coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank), '')"
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),"
+        + _spans_sql("assign", quoted(ASSIGN), "assign", 1, 2, "length(body) >= 8")
+        + _spans_sql("access", ACCESS, "access", 2, 0, "length(body) >= 16")
+        + _spans_sql("hexes", HEX, "hex", 3, 0, "true")
+        + _spans_sql("runs", RUN, "entropy", 4, 0, "regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Za-z]')")
+        + f"""
+base AS (SELECT row, b, e, kind, rank FROM assign UNION ALL SELECT row, b, e, kind, rank FROM access UNION ALL SELECT row, b, e, kind, rank FROM hexes),
+free AS (SELECT * FROM runs r WHERE NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base x WHERE x.row = r.row AND x.b < r.e AND r.b < x.e)),
+windows AS (SELECT row, b, body, i, unnest(string_split(substr(body, i, 20), '')) AS c FROM (SELECT row, b, body, unnest(range(1, length(body) - 18)) AS i FROM free)),
+entropies AS (SELECT row, b, body, i, -sum(n / 20 * log2(n / 20)) AS h FROM (SELECT row, b, body, i, c, count(*)::DOUBLE AS n FROM windows WHERE c <> '' GROUP BY ALL) GROUP BY ALL),
+strong AS (
+  SELECT row, b FROM entropies GROUP BY row, b, body
+  HAVING max(h) >= CASE CASE WHEN regexp_matches(body, '[+/_=-]') THEN 'signs' WHEN regexp_matches(body, '^([0-9a-f]+|[0-9A-F]+)$') THEN 'hex' WHEN regexp_matches(body, '^([0-9a-z]+|[0-9A-Z]+)$') THEN 'lower' ELSE 'mixed' END {limits} END),
+every AS (SELECT * FROM base UNION ALL SELECT row, f.b, e, kind, rank FROM free f JOIN strong USING (row, b)),
+told AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {spans} AS told FROM base GROUP BY row),
+listed AS (SELECT row, {spans} AS spans FROM every GROUP BY row)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(told, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (row) LEFT JOIN listed USING (row)
+"""
+    )
+
+
+SQL = _sql()
