@@ -133,6 +133,79 @@ def _lls(combos: str) -> str:
 """
 
 
+def _places(name: str, own: str, more: str, most: str) -> str:
+    """{name}_found (all places of the k-mers of own, and those of more), {name}_few (without k-mers of over `most` places in the reference), {name}_split (with their state) and {name}_verdict of junction k-mers."""
+    return f"""
+{name}_located AS (
+  SELECT kmer, chrom, pos, CASE WHEN pos >= 32 THEN substr(seq, i - 31, 32) END AS "left", CASE WHEN pos + 64 <= n THEN substr(seq, i + 33, 32) END AS "right",
+         CAST(len(regexp_replace(substr(seq, i - 233, 500), '[^CG]', '', 'g')) // 5 AS INTEGER) AS gc
+  FROM (SELECT *, row_number() OVER (PARTITION BY kmer, chrom ORDER BY pos) AS nth FROM ref_kmers WHERE kmer IN (SELECT kmer FROM {own})) WHERE nth <= 4),
+{name}_inside AS (SELECT DISTINCT l.kmer, l.chrom, l.pos FROM {name}_located l JOIN {own} o ON o.kmer = l.kmer AND o.chrom = l.chrom AND l.pos >= o.b - 32 AND l.pos <= o.e),
+{name}_found AS (
+  SELECT l.kmer, l.chrom, l.pos, CASE WHEN n.kmer IS NULL THEN 'REF' ELSE 'INNER' END AS type, "left", "right", gc, false AS trend FROM {name}_located l LEFT JOIN {name}_inside n ON n.kmer = l.kmer AND n.chrom = l.chrom AND n.pos = l.pos
+  UNION ALL SELECT kmer, chrom, pos, type, "left", "right", gc, true FROM {more}),
+{name}_few AS (SELECT row_number() OVER () AS place, * FROM {name}_found WHERE kmer NOT IN (SELECT kmer FROM {name}_found WHERE NOT trend GROUP BY kmer HAVING count(*) > {most})),
+{name}_masks AS (SELECT DISTINCT kmer, mask FROM (SELECT kmer, unnest(["left", "right"]) AS mask FROM {name}_few WHERE type <> 'REF') WHERE mask IS NOT NULL),
+{name}_shares AS (SELECT DISTINCT place FROM {name}_few f JOIN {name}_masks m USING (kmer) WHERE type = 'REF' AND ({_fits('f."left"', "m.mask")} OR {_fits('f."right"', "m.mask")})),
+{name}_split AS (SELECT f.*, CASE WHEN type = 'REF' AND s.place IS NULL THEN 'filtered' ELSE 'active' END AS state FROM {name}_few f LEFT JOIN {name}_shares s USING (place)),
+{name}_verdict AS (
+  SELECT kmer, CASE WHEN bool_or(state = 'active' AND ("left" IS NULL OR "right" IS NULL)) AND bool_or(state = 'filtered') THEN CASE WHEN bool_or(state = 'active' AND type = 'REF') THEN 'drop' ELSE 'inverse' END ELSE 'keep' END AS verdict
+  FROM {name}_split GROUP BY kmer),
+"""
+
+
+CHAIN += """
+named_witnesses AS (SELECT w.track, kmer, lf AS "left", rf AS "right", chrom, b, e FROM witnesses w JOIN tracks USING (track)),
+witness_places AS (SELECT kmer, chrom, b AS pos, 'JUNCTION' AS type, "left", "right", 0 AS gc FROM named_witnesses),
+"""
+CHAIN += _places("w", "named_witnesses", "witness_places", "1000000")
+CHAIN += """
+inner_own AS (SELECT track, kmer, mult FROM del_kmers UNION ALL SELECT track, kmer, mult FROM ins_kmers),
+both_sides AS (SELECT DISTINCT kmer FROM inner_own WHERE kmer IN (SELECT kmer FROM named_witnesses)),
+panel_own AS (
+  SELECT track, kmer, mult, type, chrom, b, e FROM (SELECT track, kmer, mult, 'INNER' AS type FROM inner_own UNION ALL SELECT track, kmer, 1, 'JUNCTION' FROM named_witnesses) JOIN tracks t USING (track) WHERE kmer NOT IN (SELECT kmer FROM both_sides)),
+panel_places AS (
+  SELECT * FROM (SELECT kmer, chrom, b AS pos, 'INNER' AS type, "left", "right", gc FROM ins_loci UNION ALL SELECT kmer, chrom, pos, type, "left", "right", gc FROM witness_places) WHERE kmer NOT IN (SELECT kmer FROM both_sides)),
+"""
+CHAIN = CHAIN.replace("JOIN tracks t USING (track) WHERE kmer NOT IN", "JOIN (SELECT track, chrom, b, e FROM tracks) USING (track) WHERE kmer NOT IN")
+CHAIN += _places("p", "panel_own", "panel_places", "3")
+CHAIN += f"""
+kinds AS (SELECT kmer, min(type) AS kind FROM panel_own GROUP BY kmer),
+judged AS (
+  SELECT s.*, kind, coalesce(kind = 'JUNCTION' AND verdict = 'inverse', false) AS inverse FROM p_split s JOIN kinds USING (kmer) LEFT JOIN p_verdict v USING (kmer) WHERE kind <> 'JUNCTION' OR verdict IS NULL OR verdict <> 'drop'),
+panel_loci AS (
+  SELECT kmer, chrom, pos, CASE WHEN inverse THEN 'REF' ELSE type END AS type, "left", "right", gc, trend FROM judged WHERE (NOT inverse AND state = 'active') OR (inverse AND type <> 'JUNCTION')),
+panel_named AS (SELECT kmer FROM panel_loci WHERE type <> 'REF' UNION SELECT kmer FROM judged WHERE inverse),
+panel_kmers AS (SELECT kmer, kind AS type, bool_or(inverse) AS inverse FROM judged WHERE kmer IN (SELECT kmer FROM panel_named) GROUP BY kmer, kind),
+panel_tracks AS (SELECT * FROM panel_own WHERE kmer IN (SELECT kmer FROM panel_named)),
+panel_masks AS (
+  SELECT kmer, mask, '%' || regexp_replace(substr(mask, 5, 24), '(.)', '\\1%', 'g') AS ahead, '%' || regexp_replace(substr({_rc("mask")}, 5, 24), '(.)', '\\1%', 'g') AS back
+  FROM (SELECT DISTINCT kmer, mask FROM (SELECT kmer, unnest(["left", "right"]) AS mask FROM panel_loci WHERE kmer IN (SELECT kmer FROM panel_named)) WHERE mask IS NOT NULL)),
+met AS (
+  SELECT row_number() OVER () AS m, * FROM (
+    SELECT kmer, lf, rf, count(*) AS n FROM (
+      SELECT {_canon("substr(seq, s + 1, 32)")} AS kmer, CASE WHEN s >= 32 THEN substr(seq, s - 31, 32) END AS lf, CASE WHEN s + 64 <= len(seq) THEN substr(seq, s + 33, 32) END AS rf FROM read_windows)
+    WHERE kmer IN (SELECT kmer FROM panel_kmers) GROUP BY ALL)),
+judged_met AS (SELECT m, bool_or(coalesce(lf LIKE ahead OR lf LIKE back, false) OR coalesce(rf LIKE ahead OR rf LIKE back, false)) AS fits FROM met JOIN panel_masks USING (kmer) GROUP BY m),
+panel_seen AS (
+  SELECT kmer, type, inverse, coalesce(sum(n) FILTER (fits IS NULL OR fits), 0) AS count, coalesce(sum(n), 0) AS total
+  FROM panel_kmers LEFT JOIN met USING (kmer) LEFT JOIN judged_met USING (m) GROUP BY ALL),
+panel_first AS (
+  SELECT o.kmer, o.track, l.trend, g.depth FROM (SELECT DISTINCT kmer, track, chrom, b, e FROM panel_tracks) o JOIN panel_kmers k USING (kmer) JOIN panel_loci l ON l.kmer = o.kmer AND l.chrom = o.chrom AND l.type = k.type
+    AND CASE WHEN k.type = 'JUNCTION' THEN l.pos = o.b ELSE l.pos >= o.b - 32 AND l.pos <= o.e END LEFT JOIN gc_depth g ON g.gc = l.gc
+  QUALIFY row_number() OVER (PARTITION BY o.kmer, o.track ORDER BY CASE WHEN l.trend THEN 0 ELSE 1 END, l.chrom, l.pos) = 1),
+panel_refs AS (SELECT kmer, count(*) AS ref FROM panel_loci JOIN panel_kmers k USING (kmer) WHERE panel_loci.type = 'REF' AND NOT inverse GROUP BY kmer),
+panel_terms AS (
+  SELECT c.kmer, combo, k.inverse, inverse OR f.kmer IS NOT NULL AS known, coalesce(inverse OR k.type = 'JUNCTION', false) AS whole, f.trend, f.depth, combo / 2.0::DOUBLE AS share,
+         CASE combo WHEN 0 THEN 0.25::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS wide
+  FROM (SELECT DISTINCT kmer, track, combo FROM panel_tracks, (SELECT unnest([0, 1, 2]) AS combo)) c JOIN panel_kmers k USING (kmer) LEFT JOIN panel_first f ON f.kmer = c.kmer AND f.track = c.track),
+panel_lls AS (
+  SELECT kmer, combo, CASE WHEN spread > 0 THEN {LOG} END AS ll FROM (
+    SELECT t.kmer, combo, sum(CASE WHEN whole THEN share * coverage WHEN NOT trend THEN (1 - share) * depth ELSE share * depth END) + coalesce(any_value(ref), 0) * any_value(coverage)::DOUBLE AS mean,
+           sum(CASE WHEN NOT whole AND NOT trend THEN 0.25::DOUBLE / wide * std ELSE wide * std END) + coalesce(any_value(ref), 0) * any_value(std) AS spread,
+           least(any_value(CASE WHEN t.inverse THEN total - count ELSE count END), floor(sum(CASE WHEN whole THEN coverage::DOUBLE ELSE depth END) + coalesce(any_value(ref), 0) * any_value(coverage)))::DOUBLE AS x
+    FROM panel_terms t JOIN panel_seen s ON s.kmer = t.kmer LEFT JOIN panel_refs r ON r.kmer = t.kmer, settled GROUP BY t.kmer, combo HAVING bool_and(known))),
+"""
 CHAIN += _lls("single_combos") + _lls("joint_combos")
 CHAIN += """
 best AS (SELECT kmer, combo, ll FROM ll_joint_combos WHERE ll > -100000 QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY ll DESC, combo) = 1),
@@ -141,13 +214,14 @@ reach AS (SELECT DISTINCT track AS a, track AS b FROM {own} UNION SELECT r.a, l.
 clusters AS (SELECT a AS track, min(b) AS cluster FROM reach GROUP BY a),
 alone AS (SELECT track, count(*) OVER (PARTITION BY cluster) = 1 AS alone FROM clusters),
 sums AS (SELECT track, sum(ll) FILTER (combo = 0) AS l0, sum(ll) FILTER (combo = 1) AS l1, sum(ll) FILTER (combo = 2) AS l2 FROM (SELECT DISTINCT kmer, track FROM fit) JOIN ll_single_combos USING (kmer) GROUP BY track),
-choice AS (SELECT *, CASE WHEN l1 > l0 OR l0 > 0 THEN l1 ELSE l0 END AS so_far, l1 > l0 OR l0 > 0 AS second FROM sums),
+panel_sums AS (SELECT track, sum(ll) FILTER (combo = 0) AS l0, sum(ll) FILTER (combo = 1) AS l1, sum(ll) FILTER (combo = 2) AS l2 FROM (SELECT DISTINCT kmer, track FROM panel_tracks) JOIN panel_lls USING (kmer) GROUP BY track),
+choice AS (SELECT *, CASE WHEN l1 > l0 OR l0 > 0 THEN l1 ELSE l0 END AS so_far, l1 > l0 OR l0 > 0 AS second FROM {sums}),
 calls AS (SELECT track, CASE WHEN NOT alone THEN 0.0::DOUBLE WHEN l2 > so_far OR so_far > 0 THEN 1.0::DOUBLE WHEN second THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS lp FROM alone LEFT JOIN choice USING (track))
 """
 
 
-def q(body: str, own: str = "own") -> str:
-    return CHAIN.replace("{own}", own) + body
+def q(body: str, own: str = "own", sums: str = "sums") -> str:
+    return CHAIN.replace("{own}", own).replace("{sums}", sums) + body
 
 
 FIRST = "(SELECT DISTINCT kmer FROM panel_97)"
@@ -179,6 +253,11 @@ SELECT chrom, CAST(gc AS INTEGER) AS gc, count(*) AS n FROM (
     "interest_masks": q("SELECT * FROM masks"),
     "locus_filter": q(f"""
 SELECT kmer, chrom, pos, type, CASE WHEN type = 'REF' AND NOT EXISTS (SELECT 1 FROM masks m WHERE m.kmer = n.kmer AND ({_fits('n."left"', "m.mask")} OR {_fits('n."right"', "m.mask")})) THEN 'filtered' ELSE 'active' END AS state FROM named n"""),
+    "inverse_kmers": q("SELECT * FROM w_verdict"),
+    "preprocess_panel": q("""
+SELECT k.kmer, type, inverse, l.loci, t.tracks FROM panel_kmers k JOIN (SELECT kmer, count(*) AS loci FROM panel_loci GROUP BY kmer) l USING (kmer) JOIN (SELECT kmer, count(DISTINCT track) AS tracks FROM panel_tracks GROUP BY kmer) t USING (kmer)"""),
+    "genotype_end_to_end": q("""
+SELECT track, lp, CASE WHEN lp IS NULL THEN './.' WHEN lp >= 0.75 THEN '1/1' WHEN lp >= 0.25 THEN '1/0' ELSE '0/0' END AS genotype FROM tracks LEFT JOIN calls USING (track)""", "panel_tracks", "panel_sums"),
     "cigar_clips": q("SELECT track, count(*) AS reads, CAST(sum(len(clips)) AS BIGINT) AS clips FROM clip GROUP BY track"),
     "junction_kmers": q("SELECT * FROM across"),
     "present_minus_absent": q('SELECT track, kmer, lf AS "left", rf AS "right" FROM witnesses'),
