@@ -7,7 +7,7 @@ a lost executor's partitions are simply read again.
 
 The benchmark is the stated query set. Its distinct windows are counted first and taken in blocks of at most block_windows;
 a block is what is broadcast. With one block, shards are indexed and searched in one go; with more, they are indexed once, as
-a table of (documents, index) rows, which each block then searches.
+a table of (documents, index) rows, of which each block reads the indexes only and gives its hits; these are joined with the documents once.
 
 Words are runs of digits, a-z after lower-casing A-Z, and characters above 0x7F. A benchmark item's windows are its runs of
 `window` words; a shorter item is one window.
@@ -186,33 +186,40 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as writer:
                 writer.write_table(rows)
-            packed = pickle.dumps(([len(d) for d in shard.documents], shard.index(), dict(shard.number)))
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([packed], pa.binary()), pa.array([[[]] * len(rows)], pa.list_(SPANS_ARROW)), pa.array([[[]] * len(rows)], pa.list_(pa.list_(pa.string())))], names=["rows", "index", "spans", "items"])
+            packed = pickle.dumps((shard.index(), dict(shard.number)))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([[len(d) for d in shard.documents]], pa.list_(pa.int64())), pa.array([packed], pa.binary())], names=["rows", "sizes", "index"])
 
-    kept = T.StructType([T.StructField("rows", T.BinaryType()), T.StructField("index", T.BinaryType()), T.StructField("spans", T.ArrayType(SPANS)), T.StructField("items", T.ArrayType(T.ArrayType(T.StringType())))])
-    index = written(docs.mapInArrow(indexed, kept), "fmindex")
+    # Written once, with documents and index in columns of their own: each block reads the indexes only, and gives a row for each shard in which it has hits.
+    index = written(docs.mapInArrow(indexed, "rows binary, sizes array<long>, index binary").withColumn("shard", F.monotonically_increasing_id()), "fmindex")
+    hit = T.StructType([T.StructField("shard", T.LongType()), T.StructField("document", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    found_in = []
     for part in parts:
         sent = sc.broadcast(Phrases(part.collect()))
 
         def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    _, fm, number = pickle.loads(row["index"])
-                    spans, items = hits(fm, number, sent.value)
-                    spans = [merged([(x["start"], x["end"]) for x in a] + b) for a, b in zip(row["spans"], spans, strict=True)]
-                    items = [in_order({*a, *b}) for a, b in zip(row["items"], items, strict=True)]
-                    spans = [[{"start": a, "end": b} for a, b in s] for s in spans]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["rows"]], pa.binary()), pa.array([row["index"]], pa.binary()), pa.array([spans], pa.list_(SPANS_ARROW)), pa.array([items], pa.list_(pa.list_(pa.string())))], names=kept.names)
-
-        index = written(index.mapInArrow(searched, kept), "fmindex")
+                for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("index"), strict=True):
+                    rows = [(d, [{"start": a, "end": b} for a, b in s], in_order(i)) for d, (s, i) in enumerate(zip(*hits(*pickle.loads(packed.as_py()), sent.value), strict=True)) if s or i]
+                    columns = [pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), SPANS_ARROW, pa.list_(pa.string()))))]
+                    yield pa.RecordBatch.from_arrays(columns, names=hit.names)
+
+        found_in.append(written(index.select("shard", "index").mapInArrow(searched, hit), "hits"))
+    every = found_in[0]
+    for more in found_in[1:]:
+        every = every.unionByName(more)
+    # Of a document at most one row a block; of a shard at most as many documents as shard_words allows.
+    by_shard = every.groupBy("shard").agg(F.collect_list(F.struct("document", "spans", "items")).alias("hits"))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rows = pa.ipc.open_stream(row["rows"]).read_all()
-                yield from answered(rows, pickle.loads(row["index"])[0], [[(x["start"], x["end"]) for x in s] for s in row["spans"]], row["items"])
+                spans, items = [[] for _ in row["sizes"]], [set() for _ in row["sizes"]]
+                for h in row["hits"] or ():
+                    spans[h["document"]] += [(x["start"], x["end"]) for x in h["spans"]]
+                    items[h["document"]].update(h["items"])
+                yield from answered(pa.ipc.open_stream(row["rows"]).read_all(), row["sizes"], [merged(s) for s in spans], items)
 
-    return index.mapInArrow(opened, schema)
+    return index.select("shard", "rows", "sizes").join(by_shard, "shard", "left").drop("shard").mapInArrow(opened, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -258,17 +265,17 @@ def op10_decontamination(spark, sf_dir) -> DataFrame:
 
 SQL = r"""
 WITH dw AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 bw AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bi AS (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM bw WHERE len(w) > 0),
 phrases AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM bi),
 lengths AS (SELECT DISTINCT m FROM phrases),
-di AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, lengths WHERE len(w) >= m),
-hits AS (SELECT d.doc_id, d.m, d.i, p.item FROM di d JOIN phrases p ON p.m = d.m AND p.phrase = array_to_string(d.w[d.i:d.i + d.m - 1], ' ')),
-per_word AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS at_word FROM hits) GROUP BY doc_id),
-per_item AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+di AS (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, lengths WHERE len(w) >= m),
+hits AS (SELECT d.row, d.m, d.i, p.item FROM di d JOIN phrases p ON p.m = d.m AND p.phrase = array_to_string(d.w[d.i:d.i + d.m - 1], ' ')),
+per_word AS (SELECT row, count(DISTINCT at_word) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS at_word FROM hits) GROUP BY row),
+per_item AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN per_word USING (doc_id) LEFT JOIN per_item USING (doc_id)
+FROM dw LEFT JOIN per_word USING (row) LEFT JOIN per_item USING (row)
 """
