@@ -34,8 +34,3 @@ def count_masked(reads: DataFrame, masks: DataFrame) -> DataFrame:
     )
     seen = rows.groupBy("kmer").agg(F.sum(F.when(passes, F.col("n")).otherwise(0)).alias("count"), F.sum("n").alias("total"))
     return known.select("kmer").join(seen, "kmer", "left").select("kmer", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("total", F.lit(0)).alias("total"))
-
-
-def fold_strands(counts: DataFrame) -> DataFrame:
-    """kmer, count, total summed over both strands of counts (kmer, count, total)."""
-    return counts.groupBy(dna.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("count").alias("count"), F.sum("total").alias("total"))

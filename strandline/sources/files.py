@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,8 +12,13 @@ from pyspark.sql import types as T
 from ..functions import dna
 
 GENOTYPES = ("0/0", "0/1", "1/0", "1/1")
-LOCUS = "chrom string, pos int, type string, gc int, trend boolean, masks array<string>"
-KMER = f"kmer string, type string, inverse boolean, trend boolean, gc int, count long, total long, tracks map<string,int>, loci array<struct<{LOCUS.replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean').replace(' array', ':array')}>>"
+#: Numbers of k-mer and locus types in k-mer files.
+TYPES = {"JUNCTION": 0, "INNER": 1, "REF": 2}
+LOCUS = "struct<chrom:string,position:int,masks:map<string,int>,type:int,gc:int,trend:boolean>"
+BODY = (
+    f"struct<count:bigint,reference:int,loci:array<{LOCUS}>,junction_loci:array<{LOCUS}>,filtered_loci:array<{LOCUS}>,total:bigint,tracks:map<string,int>,"
+    "inverse:boolean,trend:boolean,gc:int,type:int,weight:double>"
+)
 
 
 def read_bed(spark: SparkSession, *paths: str, strict_genotypes: bool = True) -> DataFrame:
@@ -62,6 +70,13 @@ def read_fastq(spark: SparkSession, *paths: str, partitions: int | None = None)
     return reads.repartition(partitions) if partitions else reads
 
 
+def read_fasta_reads(spark: SparkSession, *paths: str) -> DataFrame:
+    """read_id, seq of reads in FASTA files, of any names and of one or several lines each."""
+    rows = spark.read.option("lineSep", ">").text(list(paths)).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), "value")
+    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
+    return rows.select(F.xxhash64("file", "value").alias("read_id"), seq.alias("seq")).where("seq <> ''")
+
+
 def read_sam(spark: SparkSession, *paths: str, sample: str = "") -> DataFrame:
     """sample, read_id, chrom, pos (from 0), cigar, read of SAM text. Binary alignments are to be converted to this or to Parquet first."""
     rows = spark.read.text(list(paths)).where(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("c"))
@@ -70,11 +85,13 @@ def read_sam(spark: SparkSession, *paths: str, sample: str = "") -> DataFrame:
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq by the path's ending: .parquet, .sam, else FASTQ."""
+    """read_id, seq by the path's ending: .parquet, .sam, .fa and .fasta (.gz too), else FASTQ."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".sam"):
         return read_sam(spark, path).select("read_id", F.col("read").alias("seq"))
+    if path.removesuffix(".gz").endswith((".fa", ".fasta")):
+        return read_fasta_reads(spark, path)
     if path.endswith((".bam", ".cram")):
         raise ValueError(f"{path}: convert alignments to Parquet or SAM first")
     return read_fastq(spark, path)
@@ -98,15 +115,34 @@ def write_counts(counts: DataFrame, path: str, files: int = 100) -> None:
 
 
 def write_kmers(kmers: DataFrame, path: str, files: int = 100) -> None:
-    """k-mers with their tracks and loci, as JSON lines dealt by k-mer."""
-    kmers.repartition(files, "kmer").write.json(path)
+    """kmer, body (BODY) as `files` files of one JSON object each, {kmer: body, ...}, with an entry a line: written as rows come, however many there are."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "{"
+        for batch in batches:
+            out = []
+            for kmer, body in zip(batch.column("kmer").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                out.append(f'{lead}"{kmer}": {body}')
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["}" if lead == "," else "{}"], pa.string())], names=["value"])
+
+    rows = kmers.select("kmer", F.to_json("body", {"ignoreNullFields": "false"}).alias("body"))
+    rows.repartition(files, "kmer").mapInArrow(lines, "value string").write.text(path)
 
 
 def read_kmers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(KMER).json(path)
+    """kmer, body of k-mer files: objects with an entry a line, as write_kmers has them, or each whole in one line."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"))
+    entry = F.regexp_replace("value", r"^[{,]", "")
+    # A line with an entry opens and closes its body's brace; one that is a whole object closes the object's as well.
+    whole = F.length(F.regexp_replace("value", r"[^{]", "")) == F.length(F.regexp_replace("value", r"[^}]", ""))
+    opened = F.startswith("value", F.lit("{")) & whole
+    text = F.when(opened, F.col("value")).otherwise(F.concat(F.lit("{"), entry, F.lit("}")))
+    return lines.where("value NOT IN ('', '{', '}', '{}')").select(F.explode(F.from_json(text, f"map<string,{BODY}>")).alias("kmer", "body"))
 
 
 def write_calls(calls: DataFrame, path: str) -> None:
     """#CHROM BEGIN END SVTYPE LP GENOTYPE, split by tabs."""
     names = ["#CHROM", "BEGIN", "END", "SVTYPE", "LP", "GENOTYPE"]
-    calls.select("chrom", "begin", "end", "svtype", "lp", "genotype").toDF(*names).write.csv(path, sep="\t", header=True)
+    calls.select("chrom", "begin", "end", "svtype", "lp", "genotype").toDF(*names).write.option("comment", "\u0000").csv(path, sep="\t", header=True)
