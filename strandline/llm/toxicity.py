@@ -5,8 +5,8 @@ A word's input is its word vector (one vector for all words outside the vocabula
 score is its highest window's. All windows of the whole text are scored; a text of fewer words is one window. A run of letters of over 40 characters (words run
 together, scripts without spaces) is read as overlapping pieces, each a word of the window.
 
-Trained by backpropagation through time in numpy, on the driver, over about per_class documents of each label (chosen by hash; of a text of over max_chars
-characters, that many from a place that its hash gives). Labels are of documents, so the windows to learn from are chosen: of a toxic document the
+Trained by backpropagation through time in numpy, on the driver, over about per_class documents of each label (chosen by hash), of max_chars characters
+together: whole texts where they fit, as a toxic passage may stand anywhere in a long one; else an equal share each, from a place that the text's hash gives. Labels are of documents, so the windows to learn from are chosen: of a toxic document the
 windows_up windows that look worst, first by log odds of words and character grams, then by the model itself; of others some
 at random, then also those that look worst. The first component of the vectors begins as these log odds.
 
@@ -250,9 +250,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, pe
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for y in (0, 1) for x in (y, int(min(1.0, per_class / max(1, counts.get(y, 0))) * (1 << 30)))])
     picked = known.where(place < share[F.col("y")])  # about per_class distinct doc_ids of each label: so many are sent to the tasks
-    texts = docs.where(F.length("text") > 0).select("doc_id", window_of(F.col("text"), max_chars).alias("text"))
-    rows = written(texts.join(F.broadcast(picked), "doc_id").select("text", "y").distinct(), "sample")
-    return sorted((r["text"], r["y"]) for y in (0, 1) for r in bounded_sample(rows.where(F.col("y") == y), 2 * per_class).collect())
+    texts = docs.where(F.length("text") > 0).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = written(texts.select("text", "y").distinct(), "sample")
+    chosen = bounded_sample(rows.where("y = 1"), 2 * per_class).unionByName(bounded_sample(rows.where("y = 0"), 2 * per_class))
+    n, total = chosen.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    most = max_chars // n if total > max_chars else max_chars
+    return sorted((r["text"], r["y"]) for r in chosen.select(window_of(F.col("text"), most).alias("text"), "y").collect())
 
 
 def score(
@@ -261,7 +264,7 @@ def score(
     label: str = "toxic",
     may_learn: Column | None = None,
     per_class: int = 1800,
-    max_chars: int = 8_000,
+    max_chars: int = 50_000_000,
     grams: int = 1 << 14,
     width: int = 8,
     hidden: int = 12,
