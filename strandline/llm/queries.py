@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language, lines, mixing, near, pii, secrets, toxicity, urls
+from . import conversations, decontamination, embeddings, html_text, language, lines, mixing, near, pii, secrets, spelling, toxicity, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lines": lines.op8_lines,
     "op9_html_text": html_text.op9_html_text,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_conversation_trie": conversations.op11_conversation_trie,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_embedding_duplicates": embeddings.op13_embedding_duplicates,
 }
 
 SQL = {
@@ -23,4 +26,7 @@ SQL = {
     "op6_secrets": secrets.SQL,
     "op8_lines": lines.SQL,
     "op10_decontamination": decontamination.SQL,
+    "op11_conversation_trie": conversations.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_embedding_duplicates": embeddings.SQL,
 }

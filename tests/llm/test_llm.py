@@ -33,7 +33,7 @@ def edges(spark):
 
 
 def test_names():
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)} and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize(
@@ -46,7 +46,7 @@ def test_names():
         lambda d, s: mixing.mix(d),
         lambda d, s: toxicity.score(d, s.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int")),
         lambda d, s: secrets.scan(d.withColumnsRenamed({"bits": "other"})),
-        lambda d, s: language.identify(d, per_language=5, max_words=500, epochs=1),
+        lambda d, s: language.identify(d, rows=40, windows=200, epochs=1),
         lambda d, s: lines.judge(d),
         lambda d, s: html_text.main_text(d.select(F.col("doc_id").alias("page_id"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("html"), "bits")),
         lambda d, s: decontamination.judge(d, s.createDataFrame([(1, "a"), (2, None), (3, "")], "item_id long, text string")),
@@ -221,13 +221,13 @@ def test_html():
 
 
 def test_recurrent_gradients():
-    tagger = language.ByteTagger(["a", "b"], 4, 24, 0)
+    tagger = language.ByteTagger(["a", "b"], 4, 24, 2, 0)
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
     rng = np.random.default_rng(0)
     rows, label = rng.integers(0, 256, (3, 5)).astype(np.uint8), np.array([0, 1, 1])
     loss = lambda: float(-np.log(tagger.probabilities(rows)[0][:, np.arange(3), label]).sum() / 15)
-    g = tagger.gradients(rows, label, np.ones(3))
-    for k in ("uf", "ub", "o", "c"):
+    g = tagger.gradients(rows, label)
+    for k in ("uf", "ub", "xf", "o", "c"):
         at = tuple(rng.integers(0, s) for s in tagger.p[k].shape)
         old = tagger.p[k][at]
         tagger.p[k][at] = old + 1e-3
@@ -243,7 +243,7 @@ def test_language_held_out(spark):
     vocab = {"en": "the of and with this that from have were which".split(), "de": "der die das und nicht ein mit für auf ist".split(), "fr": "le la les des une que dans pour avec est".split()}
     rng = np.random.default_rng(4)
     docs = spark.createDataFrame([(k, " ".join(rng.choice(vocab[l], 40)), l) for k, l in enumerate(list(vocab) * 40)] + [(500, "123 !", "en"), (501, None, "en")], "doc_id long, text string, lang string")
-    out = language.identify(docs, F.col("doc_id") % 2 == 0, per_language=40, max_words=2000, epochs=3).collect()
+    out = language.identify(docs, F.col("doc_id") % 2 == 0, rows=120, windows=2000, epochs=4).collect()
     assert all(r["_lang"] == r.lang for r in out if r.doc_id < 500 and r.doc_id % 2) and {r["_lang"] for r in out if r.doc_id >= 500} == {"und"}
 
 
