@@ -2,8 +2,9 @@
 
 A page is read as a row of tokens: text nodes, whose words each score the weight of where they stand, and tags, which
 score at most -0.05; tags inside the parts named below score just that. Where a word stands is its nearest enclosing part of a menu, header, footer, sidebar, form, or an element
-whose class or id says advert, notice, comments and the like; else its nearest block element. No such name makes a part of an element that is the page, its article
-or main element, or that holds body, main or the page's first article; nor does one that says what a page has or lacks (no-sidebar). One linear scan finds the contiguous
+whose class or id is a name for adverts, notices, comments and the like, alone or with words of layout (ad-slot); else its nearest block element. No such name makes a part of an element that
+is the page, its article or main element, or that holds body, main or the page's first article; nor does one with any other word in it (share-price, related-work, no-sidebar), which may name what
+an article is about. An article's own header element is a header: a title that stands in it is left out. One linear scan finds the contiguous
 region of the highest sum; its blocks, without those that stand in such parts, are the text. A page without a region is read again with these
 class and id names taken for nothing. Scripts, styles and other raw text are never words.
 
@@ -47,9 +48,11 @@ BLOCK = frozenset(
 APART = frozenset("nav header footer aside form menu button label legend fieldset dialog title head".split())
 #: Elements that hold a page or its content as a whole.
 WHOLE = frozenset("html head body article main".split())
-CUE = re.compile(r"(?i)\b(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|comments?|respond|replies|sidebar|menu|nav\w*|navigation|breadcrumbs?|header|footer|related|pagination)\b")
-#: Names of a page's layout, which say what it has or lacks beside its content.
-LAYOUT = re.compile(r"(?i)\b(?:no|has|have|with|without|hide|show)[-_]+(?:[a-z0-9]+[-_]+)*[a-z0-9]+")
+CUE = re.compile(r"(?i)(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|comments?|respond|replies|sidebar|menu|nav\w*|navigation|breadcrumbs?|header|footer|related|pagination)")
+#: Parts of a name that say nothing about what an element holds: a name of a cue and these only is a cue, one with any other part (share-price, related-work, no-sidebar) isn't.
+NEUTRAL = re.compile(
+    r"(?i)(?:\d+|area|article|articles|aside|bar|block|blocks|body|bottom|box|btn|button|buttons|center|col|column|container|content|desktop|entry|form|global|group|holder|icon|icons|inner|item|items|layout|left|link|links|list|main|mobile|module|new|outer|page|panel|placement|post|posts|primary|region|right|row|secondary|section|signup|site|slot|small|sticky|stories|story|thread|title|top|unit|user|view|widget|widgets|wide|wp|wrap|wrapper|zone|js|c|l|o|u)"
+)
 #: An element that ends when one of these begins.
 ENDS = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -76,7 +79,14 @@ class Tags:
 
 
 def cued(attributes: str) -> bool:
-    return any(CUE.search(LAYOUT.sub("", a or b or c)) for a, b, c in NAMES.findall(attributes))
+    """Whether a class, id or role is a cue: made of cue words and neutral ones only."""
+    for a, b, c in NAMES.findall(attributes):
+        for name in (a or b or c).split():
+            parts = [p for p in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", name) if p]
+            cues = [bool(CUE.fullmatch(p)) for p in parts]
+            if any(cues) and all(cue or NEUTRAL.fullmatch(p) for p, cue in zip(parts, cues, strict=True)):
+                return True
+    return False
 
 
 def read(page: str, cues: bool = True) -> list[tuple[str, str, str]]:

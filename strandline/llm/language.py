@@ -4,7 +4,7 @@ The network, its gates by the hard sigmoid, reads a text's bytes in both directi
 in windows of `window` bytes; each window also reads `margin` bytes before and after, so that its states are warm where its own positions begin, and
 only its own positions count. A document's probabilities are the mean over all positions of the whole text.
 
-Training is by backpropagation through time in numpy, on the driver, over about rows documents, an equal share of each language, fewer where it has fewer
+Training is by backpropagation through time in numpy, on the driver, over about rows distinct texts, an equal share of each language, fewer where it has fewer, one at least
 (chosen by hash; of a text of over max_chars characters, that many from a place that its hash gives). A position's label is its document's language.
 Every language that has a row to learn from can be predicted: their number is that of the distinct values of lang, which the model holds.
 
@@ -27,9 +27,14 @@ from pyspark.sql import types as T
 from . import gru
 from .common import table, unused, window_of
 
+#: A letter, or a number that isn't a digit (² or ½): has_letter tells them apart.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 class ByteTagger:
     """Byte inputs, hidden states both ways, languages out at every position."""
 
@@ -133,13 +138,16 @@ class ByteTagger:
 def sample(docs: DataFrame, may_learn: Column, rows: int, max_chars: int) -> list[tuple[str, str]]:
     """(lang, text) to learn from, in a fixed order."""
     usable = docs.where(may_learn & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", window_of(F.col("text"), max_chars).alias("text"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    key = F.xxhash64("lang", "text")
+    # A row a language: how many distinct texts it has, told by a sketch, and one of them, so that none is left without any.
+    told = usable.groupBy("lang").agg(F.approx_count_distinct(key, 0.02).alias("n"), F.min_by("text", key).alias("text")).collect()
+    counts = {r["lang"]: max(1, r["n"]) for r in told}
     if not counts:
         return []
     share = {lang: min(1.0, 1.1 * rows / len(counts) / n) for lang, n in counts.items()}
     limits = docs.sparkSession.createDataFrame([(lang, int(x * (1 << 30))) for lang, x in share.items()], "lang string, limit long")
-    picked = usable.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)) < F.col("limit"))
-    return sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").distinct().collect())
+    picked = usable.join(F.broadcast(limits), "lang").where(F.pmod(key, F.lit(1 << 30)) < F.col("limit"))
+    return sorted({(r["lang"], r["text"]) for r in [*told, *picked.select("lang", "text").distinct().collect()]})
 
 
 def train(rows: list[tuple[str, str]], hidden: int, epochs: int, window: int, margin: int, windows: int, seed: int, length: int = 64) -> ByteTagger | None:
@@ -181,7 +189,7 @@ def identify(
                 some, size, end = {}, 0, begin
                 while end < len(texts) and size < 12_000_000:
                     t = texts[end].as_py()
-                    if t and LETTER.search(t):
+                    if t and has_letter(t):
                         some[end] = t.encode()
                         size += len(some[end])
                     end += 1

@@ -7,7 +7,7 @@ adds one character and takes one away, and the sum of c * log2(c) changes by tho
 a base span, are suppressed.
 
 Spans are (kind, start, end) in code points, end exclusive. Java's regular expressions walk the text once for the pieces
-between matches and once for the matches; lengths added up in turn give the places.
+between matches and once for the matches; running sums of lengths give the places, and running ends and starts tell which runs overlap a base span: no step looks at all spans.
 
 Defined results: a null or empty text has no spans; repeated rows each get a row; an empty table gives no rows; other columns stay as they are, and where
 one is called base or spans the new one gets underscores after that name: they are always the last two.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, unused
+from .common import let, running, table, unused
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -35,21 +35,30 @@ EMPTY = "array<struct<kind:string,start:bigint,end:bigint,body:string>>"
 
 def found(text: Column, pattern: str, kind: str, body_group: int = 0) -> Column:
     """Spans of all matches of pattern: kind, start, end, body (the group's text)."""
-    pieces = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), 0)
     bodies = whole if body_group == 0 else F.regexp_extract_all(text, F.lit(pattern), body_group)
-    zipped = F.arrays_zip(pieces.alias("p"), whole.alias("m"), bodies.alias("b"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(EMPTY).alias("out"))
-
-    def step(state, x):
-        begin = state["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        return F.struct(
-            F.coalesce(end, begin).cast("long").alias("at"),
-            F.when(x["m"].isNull(), state["out"]).otherwise(F.array_append(state["out"], F.struct(F.lit(kind).alias("kind"), begin.cast("long").alias("start"), end.cast("long").alias("end"), x["b"].alias("body")))).alias("out"),
-        )
+    pieces = F.split(text, pattern, -1)
+    each = F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("p"), whole.alias("m"), bodies.alias("b")), lambda x: F.struct(F.length(x["p"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("n"), x["b"].alias("b")))
+
+    def placed(spans):
+        starts = running(F.transform(spans, lambda x: x["gap"] + x["n"]), F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.transform(F.arrays_zip(spans.alias("x"), starts.alias("at")), lambda z: let(z["at"] + z["x"]["gap"], lambda begin: F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + z["x"]["n"]).alias("end"), z["x"]["b"].alias("body"))))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(each, placed)).otherwise(F.array().cast(EMPTY))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(F.array().cast(EMPTY))
+
+def apart(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps. Both in one order of starts: a run is overlapped if a base span before it ends after its start, or the next one begins before its end."""
+    tagged = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("rank"), b["end"].alias("end"), b["body"].alias("body"))), F.transform(runs, lambda r: F.struct(r["start"].alias("start"), F.lit(1).alias("rank"), r["end"].alias("end"), r["body"].alias("body")))))
+    far = F.lit(1 << 60).cast("long")
+
+    def kept(all_):
+        ended = running(F.transform(all_, lambda x: F.when(x["rank"] == 0, x["end"]).otherwise(F.lit(-1).cast("long"))), F.lit(-1).cast("long"), lambda a, b: F.greatest(a, b))
+        follows = F.reverse(running(F.reverse(F.transform(all_, lambda x: F.when(x["rank"] == 0, x["start"]).otherwise(far))), far, lambda a, b: F.least(a, b)))
+        free = F.filter(F.arrays_zip(all_.alias("x"), ended.alias("ended"), follows.alias("next")), lambda z: (z["x"]["rank"] == 1) & (z["ended"] <= z["x"]["start"]) & (z["next"] >= z["x"]["end"]))
+        return F.transform(free, lambda z: F.struct(F.lit("entropy").alias("kind"), z["x"]["start"].alias("start"), z["x"]["end"].alias("end"), z["x"]["body"].alias("body")))
+
+    return let(tagged, kept)
 
 
 def class_of(run: Column) -> Column:
@@ -58,30 +67,25 @@ def class_of(run: Column) -> Column:
 
 
 def peak_entropy(run: Column, window: int) -> Column:
-    """The highest entropy of a window along run, by incremental counts."""
+    """The highest entropy of a window (of 64 at most) along run, by incremental counts: one character of `n` a kind of character, of which a step rewrites two."""
     weight = F.array(*[F.lit(0.0)] + [F.lit(float(c)) * F.log2(F.lit(float(c))) for c in range(1, window + 1)])
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1)))
-
-    def step(state, i):
-        come = place(i)
-        go = F.when(i > window, place(i - window)).otherwise(F.lit(0))
-        count = lambda k: F.element_at(state["n"], k)
+    places = F.transform(F.regexp_extract_all(run, F.lit("."), 0), lambda c: F.instr(F.lit(ALPHABET), c))
+    went = F.concat(F.array_repeat(F.lit(0), window), F.slice(places, F.lit(1), F.greatest(F.size(places) - window, F.lit(0))))
+    count = lambda n, k: F.ascii(F.substring(n, k, F.lit(1))) - 48
+    put = lambda n, k, c: F.overlay(n, F.chr((c + 48).cast("long")), k, F.lit(1))
 
-        def moved(pair):
-            c, g = pair["c"], pair["g"]
-            plus = F.element_at(weight, count(c) + 2) - F.element_at(weight, count(c) + 1)
-            less = F.when(g == 0, F.lit(0.0)).otherwise(F.element_at(weight, F.element_at(state["n"], F.greatest(g, F.lit(1)))) - F.element_at(weight, F.element_at(state["n"], F.greatest(g, F.lit(1))) + 1))
-            return F.struct(
-                F.when(c == g, state["n"]).otherwise(F.transform(state["n"], lambda n, k: n + F.when(k == c - 1, 1).otherwise(0) - F.when(k == g - 1, 1).otherwise(0))).alias("n"),
-                F.when(c == g, state["sum"]).otherwise(state["sum"] + plus + less).alias("sum"),
-                state["peak"].alias("peak"),
-            )
+    def step(s, x):
+        def less(c):
+            # What leaves first, then what comes: their counts before, and the sum of c * log2(c) moved by both.
+            gone = F.when(x["go"] == 0, s["n"]).otherwise(put(s["n"], F.greatest(x["go"], F.lit(1)), c - 1))
+            lost = F.when(x["go"] == 0, F.lit(0.0)).otherwise(F.element_at(weight, c + 1) - F.element_at(weight, F.greatest(c, F.lit(1))))
+            return let(F.struct(gone.alias("n"), (s["sum"] - lost).alias("sum")), lambda g: let(count(g["n"], x["come"]), lambda k: F.struct(put(g["n"], x["come"], k + 1).alias("n"), (g["sum"] + F.element_at(weight, k + 2) - F.element_at(weight, k + 1)).alias("sum"))))
 
-        after = let(F.struct(come.alias("c"), go.alias("g")), moved)
-        return let(after, lambda s: F.struct(s["n"].alias("n"), s["sum"].alias("sum"), F.when(i >= window, F.greatest(s["peak"], F.log2(F.lit(float(window))) - s["sum"] / F.lit(float(window)))).otherwise(s["peak"]).alias("peak")))
+        after = F.when(x["come"] == x["go"], F.struct(s["n"].alias("n"), s["sum"].alias("sum"))).otherwise(let(F.when(x["go"] == 0, F.lit(1)).otherwise(count(s["n"], F.greatest(x["go"], F.lit(1)))), less))
+        return let(after, lambda a: F.struct(a["n"].alias("n"), a["sum"].alias("sum"), (s["seen"] + 1).alias("seen"), F.when(s["seen"] + 1 >= window, F.greatest(s["peak"], F.log2(F.lit(float(window))) - a["sum"] / F.lit(float(window)))).otherwise(s["peak"]).alias("peak")))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda s: s["peak"])
+    start = F.struct(F.lit("0" * len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("seen"), F.lit(0.0).alias("peak"))
+    return F.aggregate(F.arrays_zip(places.alias("come"), went.alias("go")), start, step, lambda s: s["peak"])
 
 
 def scan(docs: DataFrame, window: int = 20, limits: dict = LIMITS, allow: tuple[str, ...] = ALLOW) -> DataFrame:
@@ -100,9 +104,8 @@ def scan(docs: DataFrame, window: int = 20, limits: dict = LIMITS, allow: tuple[
 
     def added(t, base):
         runs = F.filter(found(t, RUN, "entropy"), lambda s: F.regexp_like(s["body"], F.lit("[0-9]")) & F.regexp_like(s["body"], F.lit("[A-Za-z]")))
-        free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         listed = lambda s: F.exists(F.array(*map(F.lit, allow)), lambda a: F.contains(s["body"], a))
-        return F.filter(runs, lambda s: free(s) & ~listed(s) & (peak_entropy(s["body"], window) >= F.element_at(limit, class_of(s["body"]))))
+        return F.filter(apart(runs, base), lambda s: ~listed(s) & (peak_entropy(s["body"], window) >= F.element_at(limit, class_of(s["body"]))))
 
     both = let(text, lambda t: let(base_spans(t), lambda base: F.struct(plain(base).alias("base"), plain(F.concat(base, added(t, base))).alias("spans"))))
     pair = unused(docs.columns, "pair")

@@ -35,6 +35,18 @@ def test_cue_elements_beside_the_article_go():
     assert html_text.extract(page, WEIGHTS) == TEXT
 
 
+@pytest.mark.parametrize("name", ["share-price", "related-work", "ads-law", "shareholders", "menu-engineering", "comment-free"])
+def test_names_that_say_more_keep_their_text(name):
+    page = PAGE.replace("</article>", f'<p class="{name}">kept words</p><section id="{name}"><p>more kept</p></section></article>')
+    assert html_text.extract(page, WEIGHTS) == TEXT + "\n\nkept words\n\nmore kept"
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "share-buttons", "comments-area", "siteHeader", "main-nav", "related-posts", "x y newsletter_box", "comment-12"])
+def test_names_of_layout_go(name):
+    page = PAGE.replace("</article>", f'<div class="{name}"><p>not kept</p></div></article>')
+    assert html_text.extract(page, WEIGHTS) == TEXT
+
+
 def test_many_open_elements_take_linear_time():
     assert html_text.extract("<b>" * 50_000 + "</i>" * 50_000 + "<p>one two" + "</b>" * 50_000, WEIGHTS) == "one two"
 

@@ -243,7 +243,7 @@ def test_language_held_out(spark):
     vocab = {"en": "the of and with this that from have were which".split(), "de": "der die das und nicht ein mit für auf ist".split(), "fr": "le la les des une que dans pour avec est".split()}
     rng = np.random.default_rng(4)
     docs = spark.createDataFrame([(k, " ".join(rng.choice(vocab[l], 40)), l) for k, l in enumerate(list(vocab) * 40)] + [(500, "123 !", "en"), (501, None, "en")], "doc_id long, text string, lang string")
-    out = language.identify(docs, F.col("doc_id") % 2 == 0, rows=120, windows=2000, epochs=4).collect()
+    out = language.identify(docs, F.col("doc_id") % 2 == 0, rows=120, epochs=4).collect()
     assert all(r["_lang"] == r.lang for r in out if r.doc_id < 500 and r.doc_id % 2) and {r["_lang"] for r in out if r.doc_id >= 500} == {"und"}
 
 

@@ -40,6 +40,10 @@ def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("edges")
     spark.createDataFrame([(d, t, "en", None if k % 4 == 0 else f"s{k % 3}") for k, (d, t) in enumerate(EDGES)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, "A plain"), (2, None), (3, ""), (4, "four five six seven eight one two three four five six")], "item_id long, text string").coalesce(1).write.parquet(f"{at}/benchmark.parquet")
+    turns = [(c, t, r, x) for c in range(12) for t, r, x in ((0, "user", "hello"), (None, None, ""), (1, "assistant", "ünï" * (c % 3)), (1, "user", None))] + [(None, 0, "user", "x")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{at}/conversations.parquet")
+    vectors = [(k, [1.0, float(k % 3), 0.0]) for k in range(9)] + [(20, None), (21, []), (22, [0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
