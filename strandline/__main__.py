@@ -21,7 +21,7 @@ def options(argv: list[str] | None = None) -> argparse.Namespace:
     pre = tasks.add_parser("preprocess", help="k-mers of tracks")
     pre.add_argument("--reference", required=True)
     pre.add_argument("--bed", nargs="+", required=True, help="track lists; with --alignments one for each sample, with its genotypes")
-    pre.add_argument("--alignments", nargs="*", default=[], help="SAM text for each sample")
+    pre.add_argument("--alignments", nargs="*", default=[], help="BAM or SAM text for each sample")
     gen = tasks.add_parser("genotype", help="calls from reads")
     gen.add_argument("--kmers", required=True)
     gen.add_argument("--reads", nargs="+", required=True)
@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         listed = written(files.read_bed(spark, *o.bed), "tracks")
         tracks = union_tracks(listed)
         if o.alignments:
-            parts = [files.read_sam(spark, path, sample=str(k)) for k, path in enumerate(o.alignments)]
+            parts = [files.read_alignments(spark, path, sample=str(k)) for k, path in enumerate(o.alignments)]
             aligned = parts[0]
             for p in parts[1:]:
                 aligned = aligned.unionByName(p)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dna
+from . import bam, entries
 
 GENOTYPES = ("0/0", "0/1", "1/0", "1/1")
 #: Numbers of k-mer and locus types in k-mer files.
@@ -78,14 +79,14 @@ def read_fasta_reads(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, *paths: str, sample: str = "") -> DataFrame:
-    """sample, read_id, chrom, pos (from 0), cigar, read of SAM text. Binary alignments are to be converted to this or to Parquet first."""
+    """sample, read_id, chrom, pos (from 0), cigar, read of SAM text."""
     rows = spark.read.text(list(paths)).where(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("c"))
     ops = F.transform(F.regexp_extract_all(F.col("c")[5], F.lit(r"(\d+[MIDNSHP=X])"), 1), lambda o: F.struct(F.substring(o, -1, 1).alias("op"), F.regexp_extract(o, r"^(\d+)", 1).cast("int").alias("len")))
     return rows.select(F.lit(sample).alias("sample"), F.xxhash64("c").alias("read_id"), F.col("c")[2].alias("chrom"), (F.col("c")[3].cast("int") - 1).alias("pos"), ops.alias("cigar"), F.upper(F.col("c")[9]).alias("read"))
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq by the path's ending: .parquet, .sam, .fa and .fasta (.gz too), else FASTQ."""
+    """read_id, seq by the path's ending: .parquet, .sam, .bam, .fa and .fasta (.gz too), else FASTQ."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".sam"):
@@ -93,10 +94,17 @@ def read_reads(spark: SparkSession, path: str) -> DataFrame:
     if path.removesuffix(".gz").endswith((".fa", ".fasta")):
         return read_fasta_reads(spark, path)
     if path.endswith((".bam", ".cram")):
-        raise ValueError(f"{path}: convert alignments to Parquet or SAM first")
+        return read_alignments(spark, path).select("read_id", F.col("read").alias("seq"))
     return read_fastq(spark, path)
 
 
+def read_alignments(spark: SparkSession, path: str, sample: str = "") -> DataFrame:
+    """sample, read_id, chrom, pos, cigar, read by the path's ending: .bam, else SAM text. CRAM, whose reads are differences from a reference that it doesn't hold, is to be converted first."""
+    if path.endswith(".cram"):
+        raise ValueError(f"{path}: convert CRAM to BAM first")
+    return bam.read_bam(spark, path, sample=sample) if path.endswith(".bam") else read_sam(spark, path, sample=sample)
+
+
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
     """kmer (canonical), gc of a JSON object by k-mer; gc is null in a depth panel."""
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType()))).alias("kmer", "body"))
@@ -131,15 +139,28 @@ def write_kmers(kmers: DataFrame, path: str, files: int = 100) -> None:
     rows.repartition(files, "kmer").mapInArrow(lines, "value string").write.text(path)
 
 
-def read_kmers(spark: SparkSession, path: str) -> DataFrame:
-    """kmer, body of k-mer files: objects with an entry a line, as write_kmers has them, or each whole in one line."""
-    lines = spark.read.text(path).select(F.trim("value").alias("value"))
-    entry = F.regexp_replace("value", r"^[{,]", "")
-    # A line with an entry opens and closes its body's brace; one that is a whole object closes the object's as well.
-    whole = F.length(F.regexp_replace("value", r"[^{]", "")) == F.length(F.regexp_replace("value", r"[^}]", ""))
-    opened = F.startswith("value", F.lit("{")) & whole
-    text = F.when(opened, F.col("value")).otherwise(F.concat(F.lit("{"), entry, F.lit("}")))
-    return lines.where("value NOT IN ('', '{', '}', '{}')").select(F.explode(F.from_json(text, f"map<string,{BODY}>")).alias("kmer", "body"))
+def kmer_entries(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, kmer, body, text, reason of k-mer files in any layout: an entry a line as write_kmers has them, indented over many lines, or a whole object in one. Files are read in splits.
+    Where an entry can't be read, reason says why, and text is what stands there."""
+    found = entries.entries(entries.cut(entries.splits(spark, *paths)))
+    parsed = found.withColumn("e", F.get(F.map_entries(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,{BODY}>")), F.lit(0)))
+    body = F.col("e.value")
+    reason = (
+        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        .when(F.col("e.key").isNull() | body.isNull(), "not JSON, or of other types")
+        .when(~F.col("e.key").rlike(f"^[ACGT]{{{dna.K}}}$"), "the name is no k-mer")
+        .when(body["loci"].isNull() | body["tracks"].isNull() | body["type"].isNull(), "loci, tracks or type missing")
+    )
+    return parsed.select("file", F.col("e.key").alias("kmer"), body.alias("body"), "text", reason.alias("reason"))
+
+
+def read_kmers(spark: SparkSession, *paths: str, strict: bool = True) -> DataFrame:
+    """kmer, body of k-mer files in any layout. With strict, the first entry that can't be read ends the run and is named; else such entries are left out (kmer_entries has them)."""
+    rows = kmer_entries(spark, *paths)
+    if strict:
+        wrong = F.raise_error(F.concat(F.col("file"), F.lit(": "), F.col("reason"), F.lit(": "), F.substring("text", 1, 200)))
+        return rows.where(F.when(F.col("reason").isNull(), F.lit(True)).otherwise(wrong.cast("boolean"))).select("kmer", "body")
+    return rows.where("reason IS NULL").select("kmer", "body")
 
 
 def write_calls(calls: DataFrame, path: str) -> None:
