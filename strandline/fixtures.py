@@ -113,12 +113,14 @@ def sample_genotypes(spark, sf_dir) -> DataFrame:
     return rows.select("sample", "track", g.alias("genotype"))
 
 
-def depth_panel(spark, sf_dir) -> DataFrame:
-    return reference_kmers(reference(spark, sf_dir), 97).select("kmer").distinct()
+def depth_panel(spark, sf_dir, bases: DataFrame | None = None) -> DataFrame:
+    """kmer; bases is the reference, if the caller has it."""
+    return reference_kmers(reference(spark, sf_dir) if bases is None else bases, 97).select("kmer").distinct()
 
 
-def gc_panel(spark, sf_dir) -> DataFrame:
-    bases = reference(spark, sf_dir)
+def gc_panel(spark, sf_dir, bases: DataFrame | None = None) -> DataFrame:
+    """kmer, gc; bases is the reference, if the caller has it."""
+    bases = reference(spark, sf_dir) if bases is None else bases
     return with_context(reference_kmers(bases, 61), bases).groupBy("kmer").agg(F.min("gc").alias("gc"))
 
 

@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .windows import packed_windows
+from ..session import written
+from .superkmers import count_codes
+from .windows import Members, packed_windows
+
+#: k-mers of a panel that are sent to all tasks at most: 64 MB. A larger panel is joined.
+SENT = 8_000_000
 
 
 def count_all(reads: DataFrame) -> DataFrame:
-    """kmer, total: every canonical k-mer of the reads. Sums are over packed k-mers, and partial ones go before the shuffle; an unknown base counts as G."""
-    sums = packed_windows(reads).groupBy("code").agg(F.count("*").alias("total"))
-    return sums.select(dna.decode(F.col("code")).alias("kmer"), "total")
+    """kmer, total: every canonical k-mer of the reads; an unknown base counts as G."""
+    return count_codes(reads).select(dna.decode(F.col("code")).alias("kmer"), "total")
+
+
+def members(codes: DataFrame, most: int = SENT) -> Members | None:
+    """The codes, to be sent to all tasks, or None if they are more than `most`."""
+    if codes.count() > most:
+        return None
+    return Members(np.sort(codes.toPandas()["code"].to_numpy(np.int64)))
+
+
+def panel_windows(reads: DataFrame, codes: DataFrame, flanks: bool = False, most: int = SENT) -> DataFrame:
+    """The reads' windows that have one of codes: told in the tasks that pack them where codes are few enough to be sent, else by a join."""
+    few = members(codes, most)
+    if few is None:
+        return packed_windows(reads, flanks=flanks).join(codes, "code", "left_semi")
+    return packed_windows(reads, flanks=flanks, only=reads.sparkSession.sparkContext.broadcast(few))
 
 
-def count_panel(reads: DataFrame, panel: DataFrame) -> DataFrame:
+def count_panel(reads: DataFrame, panel: DataFrame, most: int = SENT) -> DataFrame:
     """kmer, total for every k-mer of panel (kmer), 0 where unseen. Reads are filtered by the packed panel before anything is summed."""
-    keys = panel.select("kmer").distinct().withColumn("code", dna.encode(F.col("kmer")))
-    seen = packed_windows(reads).join(keys.select("code"), "code", "left_semi").groupBy("code").agg(F.count("*").alias("total"))
+    keys = written(panel.select("kmer").distinct().withColumn("code", dna.encode(F.col("kmer"))), "panel")
+    seen = panel_windows(reads, keys.select("code"), most=most).groupBy("code").agg(F.count("*").alias("total"))
     return keys.join(seen, "code", "left").select("kmer", F.coalesce("total", F.lit(0)).alias("total"))
 
 
@@ -26,8 +46,8 @@ def count_masked(reads: DataFrame, masks: DataFrame) -> DataFrame:
     """kmer, count, total for masks (kmer, mask: null for a k-mer without masks). An occurrence counts if the k-mer has no masks, or if some mask
     is a gapped subsequence of a flank that the read has whole. k-mers are met as the read has them or as its complement; masks are the k-mer's.
     Occurrences with equal flanks are judged once."""
-    known = masks.groupBy("kmer").agg(F.collect_set("mask").alias("masks")).withColumn("code", dna.encode(F.col("kmer")))
-    rows = packed_windows(reads, flanks=True).join(known.select("code"), "code", "left_semi").groupBy("code", "left", "right").agg(F.count("*").alias("n"))
+    known = written(masks.groupBy("kmer").agg(F.collect_set("mask").alias("masks")).withColumn("code", dna.encode(F.col("kmer"))), "masks")
+    rows = panel_windows(reads, known.select("code"), flanks=True).groupBy("code", "left", "right").agg(F.count("*").alias("n"))
     rows = rows.join(known, "code").withColumns({c: dna.decode(F.col(c)) for c in ("left", "right")})
     passes = (F.size("masks") == 0) | F.exists(
         "masks", lambda m: F.coalesce(dna.is_canonical_subsequence(m, F.col("left")), F.lit(False)) | F.coalesce(dna.is_canonical_subsequence(m, F.col("right")), F.lit(False))

@@ -19,7 +19,7 @@ def kmer_count_canonical(spark, sf) -> DataFrame:
 
 
 def kmer_spectrum(spark, sf) -> DataFrame:
-    return counting.count_all(fx.reads(spark, sf)).groupBy("total").agg(F.count("*").alias("kmers"))
+    return counting.count_codes(fx.reads(spark, sf)).groupBy("total").agg(F.count("*").alias("kmers"))
 
 
 def packed_kmers(spark, sf) -> DataFrame:
@@ -77,9 +77,10 @@ def inner_merge(spark, sf) -> DataFrame:
     return inner.merge(fx.tracks(spark, sf), fx.reference(spark, sf))
 
 
-def _own(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _own(spark, sf, reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The deletions' (kmer, track, chrom, begin, end, mult), and their places in the reference."""
-    tracks, reference = fx.tracks(spark, sf), fx.reference(spark, sf)
+    tracks = fx.tracks(spark, sf)
+    reference = fx.reference(spark, sf) if reference is None else reference
     own = written(inner.deletions(tracks, reference).join(tracks.select("track", "chrom", "begin", "end"), "track"), "own")
     return own, written(locate.loci(own, reference), "located")
 
@@ -139,16 +140,17 @@ def common_kmers(spark, sf) -> DataFrame:
     return junction.common(del_inner_kmers(spark, sf), junction_kmers(spark, sf))
 
 
-def _panel(spark, sf):
-    return preprocess(fx.reference(spark, sf), fx.tracks(spark, sf), fx.alignments(spark, sf), fx.sample_genotypes(spark, sf))
+def _panel(spark, sf, reference: DataFrame | None = None):
+    return preprocess(fx.reference(spark, sf) if reference is None else reference, fx.tracks(spark, sf), fx.alignments(spark, sf), fx.sample_genotypes(spark, sf))
 
 
 def _expected(spark, sf):
     """The parts of the likelihood of deletions' k-mers, counted without masks. One scan of the reads counts the k-mers of all panels."""
-    own, located = _own(spark, sf)
+    reference = fx.reference(spark, sf)
+    own, located = _own(spark, sf, reference)
     named = _relabelled(own, located).withColumns({"trend": F.lit(False), "ord": F.struct("chrom", "pos")})
     tracks = written(own.join(named.select("kmer").distinct(), "kmer", "left_semi"), "tracks")
-    deep, gc = written(fx.depth_panel(spark, sf), "depth_panel"), written(fx.gc_panel(spark, sf), "gc_panel")
+    deep, gc = written(fx.depth_panel(spark, sf, reference), "depth_panel"), written(fx.gc_panel(spark, sf, reference), "gc_panel")
     wanted = deep.select("kmer").union(gc.select("kmer")).union(tracks.select("kmer"))
     totals = written(counting.count_panel(fx.reads(spark, sf), wanted), "totals")
     seen = totals.join(tracks.select("kmer").distinct(), "kmer", "left_semi")
@@ -211,7 +213,7 @@ def subsequence_match(spark, sf) -> DataFrame:
 
 
 def preprocess_panel(spark, sf) -> DataFrame:
-    panel = preprocess(fx.reference(spark, sf), fx.tracks(spark, sf), fx.alignments(spark, sf), fx.sample_genotypes(spark, sf))
+    panel = _panel(spark, sf)
     loci = panel.kmer_loci.groupBy("kmer").agg(F.count("*").alias("loci"))
     tracks = panel.kmer_tracks.groupBy("kmer").agg(F.count_distinct("track").alias("tracks"))
     return panel.kmers.join(loci, "kmer").join(tracks, "kmer")
@@ -219,7 +221,8 @@ def preprocess_panel(spark, sf) -> DataFrame:
 
 def genotype_end_to_end(spark, sf) -> DataFrame:
     """track, lp, genotype of all tracks, by inner and junction k-mers. A track that no k-mer is left of has a null lp and ./. as its genotype."""
-    calls = genotyping.genotype(_panel(spark, sf), fx.reads(spark, sf), fx.depth_panel(spark, sf), fx.gc_panel(spark, sf))
+    reference = fx.reference(spark, sf)
+    calls = genotyping.genotype(_panel(spark, sf, reference), fx.reads(spark, sf), fx.depth_panel(spark, sf, reference), fx.gc_panel(spark, sf, reference))
     return fx.tracks(spark, sf).select("track").join(calls, "track", "left").select("track", "lp", F.coalesce("genotype", F.lit("./.")).alias("genotype"))
 
 
