@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dna
-from .operators.windows import CHUNK, MARGIN, reference_kmers, with_context
+from .operators.windows import CHUNK, MARGIN, reference_codes, reference_context
 from .session import written
 
 READ, STEP, CHROMS = 150, 30, 22
@@ -115,13 +115,14 @@ def sample_genotypes(spark, sf_dir) -> DataFrame:
 
 def depth_panel(spark, sf_dir, bases: DataFrame | None = None) -> DataFrame:
     """kmer; bases is the reference, if the caller has it."""
-    return reference_kmers(reference(spark, sf_dir) if bases is None else bases, 97).select("kmer").distinct()
+    codes = reference_codes(reference(spark, sf_dir) if bases is None else bases, 97)
+    return codes.select("code").distinct().select(dna.decode(F.col("code")).alias("kmer"))
 
 
 def gc_panel(spark, sf_dir, bases: DataFrame | None = None) -> DataFrame:
     """kmer, gc; bases is the reference, if the caller has it."""
     bases = reference(spark, sf_dir) if bases is None else bases
-    return with_context(reference_kmers(bases, 61), bases).groupBy("kmer").agg(F.min("gc").alias("gc"))
+    return reference_context(bases, 61).groupBy("code").agg(F.min("gc").alias("gc")).select(dna.decode(F.col("code")).alias("kmer"), "gc")
 
 
 def alignments(spark, sf_dir) -> DataFrame:

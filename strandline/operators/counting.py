@@ -22,9 +22,8 @@ def count_all(reads: DataFrame) -> DataFrame:
 
 def members(codes: DataFrame, most: int = SENT) -> Members | None:
     """The codes, to be sent to all tasks, or None if they are more than `most`."""
-    if codes.count() > most:
-        return None
-    return Members(np.sort(codes.toPandas()["code"].to_numpy(np.int64)))
+    few = codes.limit(most + 1).toPandas()["code"].to_numpy(np.int64)
+    return None if len(few) > most else Members(np.sort(few))
 
 
 def panel_windows(reads: DataFrame, codes: DataFrame, flanks: bool = False, most: int = SENT) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import dna
 from .operators import clusters, counting, depth, inner, junction, likelihood, locate, mix, selection
-from .operators.windows import gc_of_reference, reference_kmers, with_context
+from .operators.windows import decoded, gc_of_reference, reference_context
 from .plans import genotype as genotyping
 from .plans.preprocess import preprocess
 from .session import written
@@ -34,8 +34,7 @@ def panel_count(spark, sf) -> DataFrame:
 
 def panel_masks(spark, sf) -> DataFrame:
     """kmer, mask: flanks of the depth panel's k-mers where they were taken."""
-    reference = fx.reference(spark, sf)
-    rows = with_context(reference_kmers(reference, 97), reference)
+    rows = decoded(reference_context(fx.reference(spark, sf), 97))
     return rows.select("kmer", F.explode(F.array("left", "right")).alias("mask")).where("mask IS NOT NULL").distinct()
 
 
@@ -207,8 +206,7 @@ def bed_union(spark, sf) -> DataFrame:
 
 def subsequence_match(spark, sf) -> DataFrame:
     """Whether each k-mer of the gc panel fits between the flanks of the places it was taken from on either side."""
-    reference = fx.reference(spark, sf)
-    rows = with_context(reference_kmers(reference, 61), reference).where("left IS NOT NULL AND right IS NOT NULL")
+    rows = decoded(reference_context(fx.reference(spark, sf), 61))
     return rows.select("chrom", "pos", dna.is_canonical_subsequence(F.col("kmer"), F.col("left")).alias("in_left"), dna.is_canonical_subsequence(F.col("kmer"), F.col("right")).alias("in_right"), dna.is_subsequence(F.col("left"), F.concat(F.substring("left", 2, 31), F.lit("A"))).alias("shifted"))
 
 
