@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     o = options(argv)
     spark = spark or SparkSession.builder.appName("strandline").getOrCreate()
     if o.task == "preprocess":
+        reference = written(files.read_reference(spark, o.reference), "reference")
         listed = written(files.read_bed(spark, *o.bed), "tracks")
         tracks = union_tracks(listed)
         if o.alignments:
@@ -54,9 +55,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             for p in parts[1:]:
                 aligned = aligned.unionByName(p)
             known = listed.select(F.col("file").cast("string").alias("sample"), "track", "genotype")
-            panel = preprocess.preprocess(files.read_fasta(spark, o.reference), tracks, aligned, known)
+            panel = preprocess.preprocess(reference, tracks, aligned, known)
         else:
-            panel = preprocess.preprocess(files.read_fasta(spark, o.reference), tracks)
+            panel = preprocess.preprocess(reference, tracks)
         files.write_kmers(preprocess.to_bodies(panel), f"{o.workdir}/kmers", o.files)
     elif o.task == "genotype":
         panel = preprocess.from_bodies(written(files.read_kmers(spark, o.kmers), "bodies"))

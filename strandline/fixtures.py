@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dna
-from .operators.windows import CHUNK, MARGIN, reference_codes, reference_context
+from .operators.windows import assembled, reference_codes, reference_context
 from .session import written
 
 READ, STEP, CHROMS = 150, 30, 22
@@ -43,17 +43,8 @@ def lengths(spark, sf_dir) -> DataFrame:
 
 def reference(spark, sf_dir) -> DataFrame:
     """chrom, length, offset, base, piece: chromosomes as overlapping pieces (see operators.windows.chunks), put together from the documents that each touches."""
-    begin, end = F.col("offset"), F.col("offset") + F.length("seq")
-    touched = F.sequence(F.greatest(F.floor((begin - MARGIN) / CHUNK), F.lit(0)), F.floor((end - 1 + MARGIN) / CHUNK))
-    parts = F.transform(touched, lambda c: F.struct(c.alias("nth"), F.greatest(begin, c * CHUNK - MARGIN).alias("at"), F.least(end, (c + 1) * CHUNK + MARGIN).alias("to")))
-    cut = F.transform(parts, lambda p: F.struct(p["nth"], p["at"], F.substring(F.col("seq"), (p["at"] - begin + 1).cast("int"), (p["to"] - p["at"]).cast("int")).alias("bases")))
-    rows = placed(spark, sf_dir).where(F.length("seq") > 0).select("chrom", F.explode(cut).alias("p")).select("chrom", "p.*")
-    pieces = rows.groupBy("chrom", "nth").agg(F.array_sort(F.collect_list(F.struct("at", "bases"))).alias("parts"))  # at most a piece's bases
-    whole = pieces.join(F.broadcast(lengths(spark, sf_dir)), "chrom").where(F.col("nth") * CHUNK < F.col("length"))
-    return written(
-        whole.select("chrom", "length", (F.col("nth") * CHUNK).alias("offset"), F.greatest(F.col("nth") * CHUNK - MARGIN, F.lit(0)).alias("base"), F.array_join(F.transform("parts", lambda p: p["bases"]), "").alias("piece")),
-        "reference",
-    )
+    parts = placed(spark, sf_dir).select("chrom", F.col("offset").alias("begin"), "seq")
+    return written(assembled(parts, F.broadcast(lengths(spark, sf_dir))), "reference")  # a row a chromosome
 
 
 def cut_reads(rows: DataFrame, least: int) -> DataFrame:

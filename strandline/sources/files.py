@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dna
+from ..operators.windows import assembled
 from . import bam, entries
 
 GENOTYPES = ("0/0", "0/1", "1/0", "1/1")
@@ -58,6 +60,79 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parts.where(name.rlike(r"^(chr)?([1-9]|1\d|2[0-2]|X|Y)\r?$")).select(F.concat(F.lit("chr"), F.regexp_replace(plain, r"\r", "")).alias("chrom"), seq.alias("seq"))
 
 
+#: Chromosomes that are read, with or without chr before them.
+CHROMOSOME = re.compile(r"(?:chr)?([1-9]|1\d|2[0-2]|X|Y)")
+#: Bases of a part of a chromosome that a task gives out at once.
+PART = 1 << 16
+
+
+def read_reference(spark: SparkSession, path: str) -> DataFrame:
+    """chrom, length, offset, base, piece of the chromosomes 1 to 22, X and Y of FASTA files, as operators.windows.chunks has them. Files are cut anywhere: a split first counts the bases after
+    each of its headers, sums over the splits before say where they stand (a row a split and header), then each split's bases are given out in parts with their place."""
+    lines = entries.splits(spark, path)
+
+    def runs(batches: Iterator[pa.RecordBatch], parts: bool, starts: dict | None = None) -> Iterator[pa.RecordBatch]:
+        """A row for each run of bases after a header or a split's begin: its name (null at a split's begin) and number of bases; with parts, the bases themselves in parts, by starts."""
+        now, nth, name, count, held = None, 0, None, 0, []
+        out: list[tuple] = []
+
+        def told(last: bool) -> None:
+            nonlocal count, held
+            if parts and held:
+                place = starts.get((*now, nth))
+                if place is not None:
+                    out.append((place[0], place[1] + count - sum(map(len, held)), "".join(held)))
+                held = []
+            if last and not parts and now is not None:
+                out.append((*now, nth, name, count))
+
+        def flush() -> pa.RecordBatch:
+            kinds = [("chrom", pa.string()), ("begin", pa.int64()), ("seq", pa.string())] if parts else [("file", pa.string()), ("block", pa.int64()), ("nth", pa.int32()), ("name", pa.string()), ("n", pa.int64())]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for file, block, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value")), strict=True):
+                if (file, block) != now or value.startswith(">"):
+                    told(True)
+                    if (file, block) != now:
+                        now, nth, name = (file, block), 0, None
+                    if value.startswith(">"):
+                        nth, name = nth + 1, value[1:].rstrip("\r")
+                    count = 0
+                    if value.startswith(">"):
+                        continue
+                bases = "".join(value.split()).upper()
+                count += len(bases)
+                if parts:
+                    held.append(bases)
+                    if sum(map(len, held)) >= PART:
+                        told(False)
+            if out:
+                yield flush()
+        told(True)
+        if out:
+            yield flush()
+
+    found = lines.mapInArrow(lambda batches: runs(batches, False), "file string, block long, nth int, name string, n long").collect()  # a row a split and header
+    starts, name, at = {}, None, 0
+    lengths: dict[str, int] = {}
+    for r in sorted(found, key=lambda r: (r["file"], r["block"], r["nth"])):
+        if r["name"] is not None or r["block"] == 0 and r["nth"] == 0:
+            name, at = r["name"], 0
+        kept = CHROMOSOME.fullmatch(name or "")
+        if kept:
+            chrom = f"chr{kept[1]}"
+            if r["name"] is not None and chrom in lengths:
+                raise ValueError(f"{chrom} stands twice in {path}")
+            starts[r["file"], r["block"], r["nth"]] = chrom, at
+            at += r["n"]
+            lengths[chrom] = at
+    sizes = spark.createDataFrame(list(lengths.items()), "chrom string, length int")
+    return assembled(lines.mapInArrow(lambda batches: runs(batches, True, starts), "chrom string, begin long, seq string"), F.broadcast(sizes))  # 24 rows
+
+
 def read_fastq(spark: SparkSession, *paths: str, partitions: int | None = None) -> DataFrame:
     """read_id, seq of FASTQ files of four lines a read (gzip too: one task a file, then dealt into `partitions`).
 
