@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..functions.masks import judged
 from ..session import written
 from .superkmers import count_codes
 from .windows import Members, packed_windows
@@ -47,9 +48,6 @@ def count_masked(reads: DataFrame, masks: DataFrame) -> DataFrame:
     Occurrences with equal flanks are judged once."""
     known = written(masks.groupBy("kmer").agg(F.collect_set("mask").alias("masks")).withColumn("code", dna.encode(F.col("kmer"))), "masks")
     rows = panel_windows(reads, known.select("code"), flanks=True).groupBy("code", "left", "right").agg(F.count("*").alias("n"))
-    rows = rows.join(known, "code").withColumns({c: dna.decode(F.col(c)) for c in ("left", "right")})
-    passes = (F.size("masks") == 0) | F.exists(
-        "masks", lambda m: F.coalesce(dna.is_canonical_subsequence(m, F.col("left")), F.lit(False)) | F.coalesce(dna.is_canonical_subsequence(m, F.col("right")), F.lit(False))
-    )
-    seen = rows.groupBy("kmer").agg(F.sum(F.when(passes, F.col("n")).otherwise(0)).alias("count"), F.sum("n").alias("total"))
-    return known.select("kmer").join(seen, "kmer", "left").select("kmer", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("total", F.lit(0)).alias("total"))
+    packed = known.select("code", F.transform("masks", dna.encode).alias("masks"))
+    seen = judged(rows.join(packed, "code")).groupBy("code").agg(F.sum(F.when(F.col("passes"), F.col("n")).otherwise(0)).alias("count"), F.sum("n").alias("total"))
+    return known.select("kmer", "code").join(seen, "code", "left").select("kmer", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("total", F.lit(0)).alias("total"))
