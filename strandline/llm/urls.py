@@ -9,8 +9,8 @@ the urls without a listed rule look the postings up, and a rule fires where the
 of the highest confidence, then support, decides; where none fires, `otherwise`.
 
 Mining learns from about sample_urls distinct labelled urls (by hash) and all their tokens: tokens under the support go first, and of tokens that stand in
-just the same urls one stands for all, so that a long part that many urls share is one item; a rule found holds for each that its tokens stand for. Matching
-covers all urls and all tokens.
+just the same urls the first stands for all, so that a long part that many urls share is one item. A url has what one of its tokens stands under, so a rule
+fits whichever of the tokens that its own stand for a url has, in any number of places at once. Matching covers all urls and all tokens.
 
 Defined results: a null url, or one without ://, has an empty host and path, fits no rule and gets `otherwise`;
 repeated rows each get a row; an empty table gives no rows; other columns are not looked at.
@@ -61,8 +61,14 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     )
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, sample_urls: int) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support) from labelled (url, tokens, verdict)."""
+def posted(rules: DataFrame, often: DataFrame) -> DataFrame:
+    """rules with `token`: of their tokens the one that is least often by often (token, count)."""
+    rows = rules.withColumn("token", F.explode("tokens")).join(often, "token")
+    return rows.groupBy(*rules.columns).agg(F.min(F.struct("count", "token")).alias("rarest")).select(*rules.columns, "rarest.token")
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, sample_urls: int) -> tuple[DataFrame, DataFrame]:
+    """Rules (tokens, verdict, confidence, support) from labelled (url, tokens, verdict), and (token, stand) of all tokens that a rule's tokens stand for, themselves included."""
     marks = F.concat(F.lit("verdict:"), "verdict")
     sampled = written(bounded_sample(labelled, sample_urls), "sampled")
     least = min_support * sampled.count()
@@ -74,22 +80,21 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, sample_
     sample = sampled.join(items, "url", "left").select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), marks).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(sample)
     found = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("verdict:")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("verdict:"))))
-    rules = found.select(
-        F.col("antecedent").alias("found"), F.explode("antecedent").alias("stand"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")
-    ).join(stands, "stand")
-    named = F.array_sort(F.transform("found", lambda t: F.when(t == F.col("stand"), F.col("token")).otherwise(t)))
-    rules = rules.select(named.alias("tokens"), "verdict", "confidence", "support").distinct().withColumn("text", F.array_join("tokens", " "))
-    rules = written(rules, "rules")
-    shorter = rules.select(F.col("tokens").alias("less"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
-    # Implied by a rule of fewer tokens: looked up through each rule's own tokens, as every implying rule shares one.
+    rules = written(
+        found.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")), "rules"
+    )
+    # Implied by a rule of fewer tokens: that is posted under the one of its tokens that the fewest rules have, and looked up through each rule's own.
+    often = rules.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    shorter = posted(rules.drop("support"), often).select("token", F.col("tokens").alias("less"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
     implied = (
-        rules.select("text", "tokens", "verdict", "confidence", F.explode("tokens").alias("token"))
-        .join(shorter.withColumn("token", F.col("less")[0]), "token")
+        rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token"))
+        .join(shorter, "token")
         .where((F.size("less") < F.size("tokens")) & (F.col("same") == F.col("verdict")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0))
-        .select("text", "verdict")
+        .select("tokens", "verdict")
         .distinct()
     )
-    return rules.join(implied, ["text", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")
+    left = written(rules.join(implied, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support"), "mined")
+    return left, stands.join(left.select(F.explode("tokens").alias("stand")).distinct(), "stand", "left_semi").select("token", "stand")
 
 
 def judge(
@@ -100,7 +105,7 @@ def judge(
     sample_urls: int = 100_000,
     otherwise: str = "allow",
 ) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, mined (the tokens of the mined rule that decided) for each row of pages."""
+    """page_id, url, host, path, rule, verdict, mined (the tokens of the url that the mined rule that decided fits by, one a class) for each row of pages."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = listed_rule(F.col("host"), F.col("path"), rules)
@@ -110,26 +115,25 @@ def judge(
     labelled = urls.where("listed is not null").select("url", "tokens", F.col("listed").alias("verdict"))
     if labelled.isEmpty():
         return parsed.select("page_id", "url", "host", "path", "rule", F.coalesce("listed", F.lit(otherwise)).alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    mined = written(mine(labelled, min_support, min_confidence, sample_urls), "mined")
-    seen = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    posted = (
-        mined.withColumn("rule_text", F.concat_ws(" ", "tokens")).withColumn("token", F.explode("tokens"))
-        .join(seen, "token")
-        .groupBy("rule_text", "verdict", "confidence", "support", "tokens")
-        .agg(F.min(F.struct("count", "token")).alias("rarest"))
-        .select(F.col("rarest.token").alias("token"), F.col("tokens").alias("needs"), "rule_text", F.col("verdict").alias("says"), "confidence", "support")
-    )
+    mined, stands = mine(labelled, min_support, min_confidence, sample_urls)
+    # What a url's tokens stand under: it fits a rule that has one of the tokens of each of the rule's.
+    held = urls.select("url", "listed", F.explode("tokens").alias("token")).join(stands, "token").groupBy("url", "listed").agg(F.collect_set(F.struct("stand", "token")).alias("has"))
+    held = held.withColumn("stands", F.array_distinct("has.stand"))
+    held = written(held, "held")
+    seen = held.where("listed is not null").select(F.explode("stands").alias("token")).groupBy("token").count()
+    index = posted(mined, seen).select("token", F.col("tokens").alias("needs"), F.array_join("tokens", " ").alias("rule_text"), F.col("verdict").alias("says"), "confidence", "support")
     fired = (
-        urls.where("listed is null").select("url", "tokens", F.explode("tokens").alias("token"))
-        .join(posted, "token")
-        .where(F.size(F.array_except("needs", "tokens")) == 0)
+        held.where("listed is null").select("url", "has", "stands", F.explode("stands").alias("token"))
+        .join(index, "token")
+        .where(F.size(F.array_except("needs", "stands")) == 0)
         .groupBy("url")
-        .agg(F.max(F.struct("confidence", "support", "rule_text", "says")).alias("best"))
+        .agg(F.max(F.struct("confidence", "support", "rule_text", "says", "needs", "has")).alias("best"))
     )
+    own = lambda n: F.array_min(F.transform(F.filter("best.has", lambda h: h["stand"] == n), lambda h: h["token"]))
     return parsed.join(fired, "url", "left").select(
         "page_id", "url", "host", "path", "rule",
         F.coalesce("listed", "best.says", F.lit(otherwise)).alias("verdict"),
-        F.when(F.col("listed").isNull(), F.col("best.rule_text")).alias("mined"),
+        F.when(F.col("listed").isNull(), F.array_join(F.array_sort(F.transform("best.needs", own)), " ")).alias("mined"),
     )
 
 

@@ -84,7 +84,7 @@ def tokens(url):
 
 
 def brute_verdicts(rows, min_support, min_confidence):
-    """Every combination of tokens is counted; of tokens in just the same urls the first stands for all, and a rule holds for each that one of its tokens stands for."""
+    """Every combination of classes (tokens in just the same labelled urls) is counted; a rule fits a url that has any token of each of its classes."""
     listed, parts = {}, {u: tokens(u) for _, u in rows}
     for u, (host, path, _) in parts.items():
         fits = [(len(h + p), v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
@@ -104,17 +104,11 @@ def brute_verdicts(rows, min_support, min_confidence):
             for c in combinations(items, size):
                 counts[c] += 1
                 with_verdict[c, v] += 1
-    rules = {}
-    for (c, v), k in with_verdict.items():
-        if k >= min_support * n and k / counts[c] >= min_confidence:
-            for t in c:
-                for x in common:
-                    if stand[x] == t:
-                        rules[frozenset({*c, x} - {t} | ({x})), v] = (round(k / counts[c], 9), round(k / n, 9))
+    rules = {(frozenset(c), v): (round(k / counts[c], 9), round(k / n, 9)) for (c, v), k in with_verdict.items() if k >= min_support * n and k / counts[c] >= min_confidence}
     rules = {(c, v): s for (c, v), s in rules.items() if not any(v == w and d < c and s2[0] >= s[0] for (d, w), s2 in rules.items())}
     out = {}
     for k, u in rows:
-        fired = [(*s, " ".join(sorted(c)), v) for (c, v), s in rules.items() if c <= parts[u][2]]
+        fired = [(*s, " ".join(sorted(c)), v) for (c, v), s in rules.items() if all(any(stand.get(t) == x for t in parts[u][2]) for x in c)]
         out[k] = listed.get(u) or (max(fired)[3] if fired else "allow")
     return out
 
@@ -131,6 +125,19 @@ def test_url_verdicts_against_all_combinations(spark):
         assert got == brute_verdicts(rows, least, sure)
 
 
+def test_url_rule_fits_any_token_of_each_class(spark):
+    """Two classes of two tokens: a rule of both fits a url that has the other token of each, and doesn't fit one that lacks a class."""
+    listed = [f"http://a{k}.net/es/aa/bb/{x}{k}" for k in range(20) for x in "xy"] + [f"http://a{k}.com/aa/bb/{k}" for k in range(20)] + [f"http://b{k}.com/q?m=1&n=2" for k in range(20)]
+    listed += [f"http://c{k}.net/fr/aa/bb/z{k}?m=1&n=2" for k in range(20)] + [f"http://d{k}.com/aa/bb/cc/dd" for k in range(20)] + [f"http://e{k}.net/fr/cc/dd/{k}" for k in range(5)]
+    other = ["http://z.org/bb?n=3", "http://z.org/aa?m=3", "http://z.org/bb?x=3", "http://z.org/n?n=3", "http://z.org/dd/bb"]
+    rows = list(enumerate(listed + other))
+    got = {r.page_id: (r.verdict, r.mined) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.05, min_confidence=0.9).collect()}
+    assert {k: v for k, (v, _) in got.items()} == brute_verdicts(rows, 0.05, 0.9)
+    n = len(listed)
+    assert (got[n], got[n + 1]) == (("block", "arg:n path:bb"), ("block", "arg:m path:aa"))
+    assert got[n + 4] == ("allow", "path:bb path:dd") and got[n + 2][1] is None and got[n + 3][0] == "allow"
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(n))
 
