@@ -29,6 +29,16 @@ def sample_kmers(spark: SparkSession, kmers: dict[str, str]) -> DataFrame:
     return out
 
 
+def bodies(spark: SparkSession, kmers: dict[str, str], mixed: DataFrame) -> DataFrame:
+    """kmer, body of mixed (track, kmer), each k-mer once however many tracks have it: as the first sample, in the order of kmers, has it at one of these tracks."""
+    parts = [files.read_kmers(spark, path).select(F.lit(nth).alias("nth"), "kmer", "body") for nth, path in enumerate(kmers.values())]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    at = rows.select("nth", "kmer", F.explode(F.map_keys("body.tracks")).alias("track")).join(mixed, ["track", "kmer"], "left_semi").groupBy("kmer").agg(F.min("nth").alias("nth"))
+    return rows.join(at, ["kmer", "nth"], "left_semi").groupBy("kmer").agg(F.min_by("body", F.to_json("body")).alias("body"))
+
+
 def run(spark: SparkSession, kmers: dict[str, str], calls: dict[str, str], truth: dict[str, str], strict: bool = False) -> DataFrame:
     """track, kmer that every sample in which the track was called has (see operators.mix.intersect). All paths are by sample."""
     return mix.intersect(sample_kmers(spark, kmers), sample_calls(spark, calls), sample_calls(spark, truth), strict)

@@ -44,7 +44,9 @@ def test_files_and_command_line(spark, tmp_path):
     (tmp_path / "depth.json").write_text(json.dumps({k: {} for k in kept}))
     assert sorted(r.seq for r in files.read_reads(spark, at("reads.fa")).collect()) == sorted(reads)
 
-    main(["preprocess", "--reference", at("ref.fa"), "--bed", at("a.bed"), "--workdir", at("pre"), "--files", "3"], spark)
+    main(["preprocess", "--reference", at("ref.fa"), "--bed", at("a.bed"), "--workdir", at("pre"), "--files", "3", "--by_track"], spark)
+    assert sorted(f for f in os.listdir(at("pre/kmers_by_track")) if f.startswith("track=")) == ["track=DEL@chr1_1500_1700", "track=DEL@chr1_4500_4650", "track=INS@chr1_3500_3501"]
+    assert {line.strip() for line in lines_of(at("pre/rejects"))} <= {"kmer\treason", ""}
     parts = [f for f in os.listdir(at("pre/kmers")) if f.startswith("part")]
     objects = [json.load(open(at(f"pre/kmers/{f}"))) for f in parts]  # each file is one JSON object
     panel = preprocess(ref, files.read_bed(spark, at("a.bed")))
@@ -73,6 +75,7 @@ def test_files_and_command_line(spark, tmp_path):
     mixed = {tuple(line.split()) for line in lines_of(at("mixed/mix")) if not line.startswith("track")}
     carried = {"DEL@chr1_1500_1700", "INS@chr1_3500_3501"}
     assert mixed == {(r.track, r.kmer) for r in panel.kmer_tracks.collect() if r.track in carried}
+    assert sorted(r.kmer for r in files.read_kmers(spark, at("mixed/mix_kmers")).collect()) == sorted({k for _, k in mixed})
 
 
 def test_counts_of_a_panel_give_the_same_calls(spark):
