@@ -195,16 +195,37 @@ panel_first AS (
     AND CASE WHEN k.type = 'JUNCTION' THEN l.pos = o.b ELSE l.pos >= o.b - 32 AND l.pos <= o.e END LEFT JOIN gc_depth g ON g.gc = l.gc
   QUALIFY row_number() OVER (PARTITION BY o.kmer, o.track ORDER BY CASE WHEN l.trend THEN 0 ELSE 1 END, l.chrom, l.pos) = 1),
 panel_refs AS (SELECT kmer, count(*) AS ref FROM panel_loci JOIN panel_kmers k USING (kmer) WHERE panel_loci.type = 'REF' AND NOT inverse GROUP BY kmer),
-panel_terms AS (
-  SELECT c.kmer, combo, k.inverse, inverse OR f.kmer IS NOT NULL AS known, coalesce(inverse OR k.type = 'JUNCTION', false) AS whole, f.trend, f.depth, combo / 2.0::DOUBLE AS share,
-         CASE combo WHEN 0 THEN 0.25::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS wide
-  FROM (SELECT DISTINCT kmer, track, combo FROM panel_tracks, (SELECT unnest([0, 1, 2]) AS combo)) c JOIN panel_kmers k USING (kmer) LEFT JOIN panel_first f ON f.kmer = c.kmer AND f.track = c.track),
-panel_lls AS (
+"""
+
+
+def _panel_lls(name: str, combos: str) -> str:
+    """{name}_lls (kmer, combo, ll) of combos (kmer, track, combo, g): the likelihood of k-mers of all types, counted with masks."""
+    return f"""{name}_terms AS (
+  SELECT c.kmer, combo, k.inverse, inverse OR f.kmer IS NOT NULL AS known, coalesce(inverse OR k.type = 'JUNCTION', false) AS whole, f.trend, f.depth, g / 2.0::DOUBLE AS share,
+         CASE g WHEN 0 THEN 0.25::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS wide
+  FROM {combos} c JOIN panel_kmers k USING (kmer) LEFT JOIN panel_first f ON f.kmer = c.kmer AND f.track = c.track),
+{name}_lls AS (
   SELECT kmer, combo, CASE WHEN spread > 0 THEN {LOG} END AS ll FROM (
     SELECT t.kmer, combo, sum(CASE WHEN whole THEN share * coverage WHEN NOT trend THEN (1 - share) * depth ELSE share * depth END) + coalesce(any_value(ref), 0) * any_value(coverage)::DOUBLE AS mean,
            sum(CASE WHEN NOT whole AND NOT trend THEN 0.25::DOUBLE / wide * std ELSE wide * std END) + coalesce(any_value(ref), 0) * any_value(std) AS spread,
            least(any_value(CASE WHEN t.inverse THEN total - count ELSE count END), floor(sum(CASE WHEN whole THEN coverage::DOUBLE ELSE depth END) + coalesce(any_value(ref), 0) * any_value(coverage)))::DOUBLE AS x
-    FROM panel_terms t JOIN panel_seen s ON s.kmer = t.kmer LEFT JOIN panel_refs r ON r.kmer = t.kmer, settled GROUP BY t.kmer, combo HAVING bool_and(known))),
+    FROM {name}_terms t JOIN panel_seen s ON s.kmer = t.kmer LEFT JOIN panel_refs r ON r.kmer = t.kmer, settled GROUP BY t.kmer, combo HAVING bool_and(known))),
+"""
+
+
+CHAIN += _panel_lls("panel", "(SELECT DISTINCT kmer, track, combo, combo AS g FROM panel_tracks, (SELECT unnest([0, 1, 2]) AS combo))")
+CHAIN += """
+panel_fit AS (
+  SELECT * FROM panel_tracks WHERE kmer IN (SELECT kmer FROM panel_loci GROUP BY kmer HAVING count(*) <= 3) AND kmer IN (SELECT kmer FROM panel_tracks GROUP BY kmer HAVING count(DISTINCT track) <= 2 AND max(mult) <= 1)),
+panel_numbered AS (SELECT kmer, track, row_number() OVER (PARTITION BY kmer ORDER BY track) AS nth, count(*) OVER (PARTITION BY kmer) AS n_tracks FROM (SELECT DISTINCT kmer, track FROM panel_fit)),
+panel_combos AS (SELECT kmer, track, combo, CAST(combo // CAST(pow(3, n_tracks - nth) AS BIGINT) % 3 AS BIGINT) AS g FROM (SELECT *, unnest(range(0, CAST(pow(3, n_tracks) AS BIGINT))) AS combo FROM panel_numbered)),
+"""
+CHAIN += _panel_lls("joint_panel", "panel_combos")
+CHAIN += """
+panel_best AS (SELECT kmer, combo FROM joint_panel_lls WHERE ll > -100000 QUALIFY row_number() OVER (PARTITION BY kmer ORDER BY ll DESC, combo) = 1),
+panel_agrees AS (
+  SELECT kmer FROM panel_best JOIN panel_combos USING (kmer, combo) LEFT JOIN (SELECT track, genotype FROM tracks) USING (track) GROUP BY kmer HAVING bool_and((g > 0) = coalesce(genotype LIKE '%1%', false))),
+panel_chosen AS (SELECT DISTINCT kmer, track, count(*) OVER (PARTITION BY kmer) AS n FROM (SELECT DISTINCT kmer, track FROM panel_fit WHERE kmer IN (SELECT kmer FROM panel_agrees))),
 """
 CHAIN += _lls("single_combos") + _lls("joint_combos")
 CHAIN += """
@@ -258,6 +279,9 @@ SELECT kmer, chrom, pos, type, CASE WHEN type = 'REF' AND NOT EXISTS (SELECT 1 F
 SELECT k.kmer, type, inverse, l.loci, t.tracks FROM panel_kmers k JOIN (SELECT kmer, count(*) AS loci FROM panel_loci GROUP BY kmer) l USING (kmer) JOIN (SELECT kmer, count(DISTINCT track) AS tracks FROM panel_tracks GROUP BY kmer) t USING (kmer)"""),
     "genotype_end_to_end": q("""
 SELECT track, lp, CASE WHEN lp IS NULL THEN './.' WHEN lp >= 0.75 THEN '1/1' WHEN lp >= 0.25 THEN '1/0' ELSE '0/0' END AS genotype FROM tracks LEFT JOIN calls USING (track)""", "panel_tracks", "panel_sums"),
+    "panel_likelihood": q("SELECT kmer, combo, round(ll, 6) AS ll FROM panel_lls"),
+    "panel_selection": q("SELECT DISTINCT kmer FROM (SELECT kmer, n, min(n) OVER (PARTITION BY track) AS least FROM panel_chosen) WHERE n = 1 OR least > 1"),
+    "panel_components": q("SELECT * FROM clusters", "panel_tracks"),
     "cigar_clips": q("SELECT track, count(*) AS reads, CAST(sum(len(clips)) AS BIGINT) AS clips FROM clip GROUP BY track"),
     "junction_kmers": q("SELECT * FROM across"),
     "present_minus_absent": q('SELECT track, kmer, lf AS "left", rf AS "right" FROM witnesses'),

@@ -224,6 +224,32 @@ def genotype_end_to_end(spark, sf) -> DataFrame:
     return fx.tracks(spark, sf).select("track").join(calls, "track", "left").select("track", "lp", F.coalesce("genotype", F.lit("./.")).alias("genotype"))
 
 
+def _whole(spark, sf):
+    """The panel of deletions, insertions and inversions, its k-mers as counted with masks, and the depths."""
+    reference = fx.reference(spark, sf)
+    panel, reads = _panel(spark, sf, reference), fx.reads(spark, sf)
+    coverage, std, gc = genotyping.depths(reads, fx.depth_panel(spark, sf, reference), fx.gc_panel(spark, sf, reference))
+    return panel, written(genotyping.counted(panel, reads), "seen"), coverage, std, gc
+
+
+def panel_likelihood(spark, sf) -> DataFrame:
+    """The likelihood of each genotype for every k-mer of the panel: inner, junction and inverse ones of all types of variants, counted with masks."""
+    panel, seen, coverage, std, gc = _whole(spark, sf)
+    lls = likelihood.likelihoods(seen, likelihood.expected(seen, panel.kmer_tracks, panel.kmer_loci, gc, coverage, std, likelihood.single(panel.kmer_tracks)))
+    return lls.withColumn("ll", F.round("ll", 6))
+
+
+def panel_selection(spark, sf) -> DataFrame:
+    """The k-mers of the panel that are kept for genotyping: of few places and tracks, in agreement with known genotypes, and needed by a track."""
+    panel, seen, coverage, std, gc = _whole(spark, sf)
+    return genotyping.select(panel, seen, fx.tracks(spark, sf).select("track", "genotype"), coverage, std, gc)
+
+
+def panel_components(spark, sf) -> DataFrame:
+    """The clusters of tracks of all types of variants that share k-mers of the panel."""
+    return clusters.clusters(_panel(spark, sf).kmer_tracks)
+
+
 def cluster_lp(spark, sf) -> DataFrame:
     seen, tracks, loci, gc, coverage, _ = _expected(spark, sf)
 
@@ -239,6 +265,7 @@ QUERIES = {
         kmer_count_canonical, kmer_spectrum, packed_kmers, panel_count, panel_count_masked, depth_estimate, gc_depth, gc_window, del_inner_kmers, ins_breakpoint_kmers,
         ins_body_kmers, ins_inner_kmers, inner_merge, reference_loci, reference_hit_filter, interest_masks, locus_filter, inverse_kmers, cigar_clips, junction_kmers,
         present_minus_absent, common_kmers, kmer_likelihood, joint_genotype_choice, select_kmers, nonunique_prune, track_components, genotype_calls, mix_intersection,
-        bed_union, subsequence_match, preprocess_panel, genotype_end_to_end, cluster_lp,
+        bed_union, subsequence_match, preprocess_panel, genotype_end_to_end, cluster_lp, panel_likelihood, panel_selection,
+        panel_components,
     )
 }
