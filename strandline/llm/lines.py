@@ -93,11 +93,12 @@ def base_rules(docs: DataFrame, host: str, min_words: int, max_repeat: int) -> D
 def frequent(mine: DataFrame, texts: DataFrame, max_docs: int, max_share: float) -> DataFrame:
     """host, hash of mine (host, text_hash, hash; distinct) that more of its host's texts (host, text_hash; distinct) have than max_docs and their share.
 
-    Only hosts large enough for the share to count are sent to the tasks: at most max_share / max_docs of the number of texts.
+    Only hosts large enough for the share to count have a limit of their own: at most max_share / max_docs of the number of texts. Spark sends these to the tasks
+    if they are small, else splits the hosts of many lines.
     """
     limits = texts.groupBy("host").agg((F.count("*") * max_share).alias("limit")).where(F.col("limit") > max_docs)
     counted = mine.groupBy("host", "hash").count().where(F.col("count") > max_docs)
-    return counted.join(F.broadcast(limits), "host", "left").where(F.col("limit").isNull() | (F.col("count") > F.col("limit"))).select("host", "hash")
+    return counted.join(limits, "host", "left").where(F.col("limit").isNull() | (F.col("count") > F.col("limit"))).select("host", "hash")
 
 
 def judge(

@@ -12,13 +12,15 @@ only; a text of fewer words is one shingle; without words the set is empty and l
 4. Trees. Blocks that still hold several components become signature trees: members ordered by component and size, nodes of eight below
    nodes of eight, each node with the OR of its members' token bitmaps and its range of sizes. Two descents at once from the
    root drop node pairs of one component, of sizes too far apart, or whose maximum possible overlap (common bits, and tokens that share bits) is
-   too small. Bitmaps have half of a set's shingles and are as wide as it is large; those of sets that differ in width are folded. A block of over `block` members is dealt into parts, one tree for each two parts. What comes out of a tree is a forest over the
+   too small. Bitmaps have half of a set's shingles and are as wide as it is large; those of sets that differ in width are folded. A block of over `block` members (fewer
+   where bitmaps are wide) is cut into parts by size, one tree for each two parts whose sizes may link and that aren't of one component. What comes out of a tree is a forest over the
    members that may link: a row less than it has members at most, not a row a pair. The components of all forests are clusters: no link leaves one.
 5. Proof. The members of clusters come once more, with their whole sets, read anew from their texts. A tree over wider bitmaps gives the
    pairs of a cluster, each is compared by its sets, and pairs that links of the cluster have joined already are passed over; so a cluster gives fewer links than
-   it has members. Clusters whose sets have over `held` shingles together are dealt into parts too. Links of both rounds make the components.
+   it has members. Clusters whose sets have over `held` shingles together are cut into parts in the same way. Links of both rounds make the components.
 
-No task makes a row a pair: rows are in proportion to the members of blocks. Pairs just below the threshold are compared inside tasks.
+No task makes a row a pair. A member of a block within `block` is one row; one of a larger block is a row for each part of sizes near its own, so these grow
+with the number of members of sizes within the threshold over `block`. Pairs just below the threshold are compared inside tasks.
 
 Defined results: null or empty text has 0 shingles and is its own component; repeated rows are copies and each get a row; rows with one doc_id
 and several texts count as one document that has the links of each; a row without doc_id has links too, and its component is the smallest doc_id of
@@ -36,6 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..session import written
 from .common import table, unused
@@ -340,12 +343,35 @@ def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def dealt(rows: DataFrame, size: Column, limit: int) -> DataFrame:
-    """rows with their part of the block, and a row for each two parts (p, q) in which they are compared: one where size is within limit."""
-    parts = F.ceil(size / limit).cast("long")
+def dealt(rows: DataFrame, totals: DataFrame, threshold: int, limit: int) -> DataFrame:
+    """rows (block, c, n, root, weight, ...) of the blocks of totals (block, total) with their part, and a row for each two parts (p, q) in which they are compared.
+
+    A block of a total weight within limit is one part. Others are cut by size, sizes of over limit by component, so that parts are ranges of sizes; a component
+    of over a quarter of limit has parts of its own. Parts meet only if their sizes may link and they aren't of one component, and a
+    row goes only where its own size may link. So a row comes once for each part of sizes near its own.
+    """
     zero = F.lit(0).cast("long")
-    split = rows.withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("c"), parts)).otherwise(zero)).withColumn("other", F.explode(F.sequence(zero, F.greatest(parts - 1, zero))))
-    return split.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("other")
+    whole = rows.join(totals.where(F.col("total") <= limit).select("block"), "block").withColumns({c: zero for c in ("part", "p", "q")})
+    large = written(rows.join(totals.where(F.col("total") > limit).select("block"), "block"), "large")
+    cells = large.groupBy("block", "n", "root").agg(F.sum("weight").alias("w"))
+    before = lambda *order: Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # A row a component of over a quarter of limit: few, and numbered from -1 down.
+    own = cells.where(F.col("w") > limit / 4).withColumn("parts", F.ceil(F.col("w") / limit).cast("long"))
+    own = own.withColumn("first", F.coalesce(F.sum("parts").over(before("n", "root")), zero)).drop("w")
+    # A row a size.
+    sizes = cells.where(F.col("w") <= limit / 4).groupBy("block", "n").agg(F.sum("w").alias("w"))
+    sizes = sizes.withColumn("begin", F.coalesce(F.sum("w").over(before("n")), zero))
+    at = F.when(F.col("parts").isNotNull(), -1 - F.col("first") - F.pmod(F.xxhash64("c"), F.col("parts"))).otherwise(F.floor((F.col("begin") + F.pmod(F.xxhash64("root"), F.col("w"))) / limit))
+    placed = written(large.join(own, ["block", "n", "root"], "left").join(sizes, ["block", "n"], "left").withColumn("part", at.cast("long")).drop("parts", "first", "w", "begin"), "placed")
+    parts = placed.groupBy("block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("r_low"), F.max("root").alias("r_high"))
+    a, b = parts.alias("a"), parts.alias("b")
+    meets = (F.col("a.part") <= F.col("b.part")) & (100 * F.col("a.high") >= threshold * F.col("b.low")) & (100 * F.col("b.high") >= threshold * F.col("a.low"))
+    one = (F.col("a.r_low") == F.col("b.r_high")) & (F.col("b.r_low") == F.col("a.r_high")) & (F.col("a.r_low") == F.col("a.r_high"))
+    met = written(a.join(b, (F.col("a.block") == F.col("b.block")) & meets & ~one).select("a.block", F.col("a.part").alias("p"), F.col("b.part").alias("q"), *(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("low", "high"))), "met")
+    of = lambda part, other: met.select("block", F.col(part).alias("part"), "p", "q", F.col(f"low_{other}").alias("low"), F.col(f"high_{other}").alias("high"))
+    both = of("p", "b").union(of("q", "a").where("p <> q"))
+    near = (100 * F.col("n") >= threshold * F.col("low")) & (100 * F.col("high") >= threshold * F.col("n"))
+    return whole.unionByName(placed.join(both, ["block", "part"]).where(near).drop("low", "high"))
 
 
 def forests(rows: DataFrame, body) -> DataFrame:
@@ -361,8 +387,10 @@ def forests(rows: DataFrame, body) -> DataFrame:
 def candidates(live: DataFrame, found: DataFrame, reps: DataFrame, threshold: int, block: int) -> DataFrame:
     """Pairs (a, b) of a forest over the classes that may link, in a block, with one of another component so far."""
     tied = written(live.select(F.col("token").alias("block"), "c", "n").join(found.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")), "tied")
-    mixed = tied.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).where("low <> high").select("block", "df")
-    rows = dealt(tied.join(mixed, "block"), F.col("df"), block).join(reps.select("c", "bits"), "c").select(*KEY, *OWN, "bits")
+    # Bytes: a bitmap's by the size of its set, and as much as the narrowest for the rest.
+    tied = tied.withColumn("weight", NARROW // 8 + F.greatest(F.lit(NARROW // 8), F.least(F.lit(MAX_WIDE // 8), (F.col("n") / 8).cast("long"))))
+    mixed = written(tied.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("weight").alias("total")).where("low <> high").select("block", "total"), "mixed")
+    rows = dealt(tied, mixed, threshold, block * NARROW // 4).join(reps.select("c", "bits"), "c").select(*KEY, *OWN, "bits")
 
     def may_link(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         bits = rows.column("bits").combine_chunks()
@@ -420,8 +448,8 @@ def linked(pairs: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame,
     clusters = components(pairs).select(F.col("v").alias("c"), F.col("root").alias("block"))
     named = written(clusters.join(reps.select("c", "doc_id", "th", "n"), "c").join(found.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")), "named")
     whole = whole_sets(named.select("c", "doc_id", "th"), docs, size, send_rows)
-    weights = named.groupBy("block").agg(F.sum("n").alias("weight"))
-    rows = dealt(named.join(weights, "block"), F.col("weight"), held).select(*KEY, *OWN).join(whole, "c").select(*KEY, *OWN, "h")
+    totals = named.groupBy("block").agg(F.sum("n").alias("total"))
+    rows = dealt(named.withColumn("weight", F.col("n")), totals, threshold, held).select(*KEY, *OWN).join(whole, "c").select(*KEY, *OWN, "h")
 
     def prove(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         h = rows.column("h").combine_chunks()
@@ -445,7 +473,7 @@ def same_document(some: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def join(
-    docs: DataFrame, size: int = 5, threshold: int = 80, buckets: int = 1 << 18, block: int = 8192, held: int = 4_000_000, send_rows: int = 100_000, by_document: bool = True
+    docs: DataFrame, size: int = 5, threshold: int = 80, buckets: int = 1 << 18, block: int = 32_768, held: int = 4_000_000, send_rows: int = 100_000, by_document: bool = True
 ) -> DataFrame:
     """doc_id, th (hash of the text), n (size of the set), fp, rep (the smallest doc_id of the same set), root (the smallest doc_id reachable) and
     component (one number for all that is reachable, null where n is 0) for each row of docs. Without by_document, rows of one doc_id with different texts are not taken for one document."""

@@ -91,3 +91,37 @@ def test_bitmaps_of_several_widths_lose_nothing():
     by_width = near.by_width(np.concatenate(maps), np.concatenate(([0], np.cumsum([len(m) for m in maps]))))
     a, b = near.Blocks(rows, by_component=False).forest(by_width, 80)
     assert {(k, k + 60) for k in range(60)} <= set(zip(a.tolist(), b.tolist(), strict=True)) and len(a) < 70
+
+
+def dealt_rows(spark, n, root, limit, threshold=80):
+    """(members, rows of parts, pairs that may link and meet, pairs that may link)"""
+    rows = spark.createDataFrame([(7, c, int(n[c]), int(root[c]), 1) for c in range(len(n))], "block long, c long, n long, root long, weight long")
+    totals = spark.createDataFrame([(7, len(n))], "block long, total long")
+    return near.dealt(rows, totals, threshold, limit)
+
+
+@pytest.mark.parametrize("roots_of", ["own", "few", "one large"])
+def test_each_pair_that_may_link_meets_once(spark, roots_of):
+    rng = np.random.default_rng(3)
+    n = np.concatenate([rng.integers(5, 60, 150), np.full(90, 30)])
+    root = {"own": np.arange(240), "few": np.arange(240) % 3, "one large": np.where(np.arange(240) < 200, 0, np.arange(240))}[roots_of]
+    got = dealt_rows(spark, n, root, 16).toPandas()
+    assert (got.part.eq(got.p) | got.part.eq(got.q)).all()
+    met = []
+    for (p, q), rows in got.groupby(["p", "q"]):
+        c, part = rows.c.to_numpy(), rows.part.to_numpy()
+        assert len(c) == len(set(c)) and len(c) < 90
+        x, y = np.triu_indices(len(c), 1)
+        on = (p == q) | (part[x] != part[y])
+        met += [(min(a, b), max(a, b)) for a, b in zip(c[x[on]].tolist(), c[y[on]].tolist(), strict=True)]
+    wanted = {(a, b) for b in range(240) for a in range(b) if root[a] != root[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])}
+    assert len(met) == len(set(met)) and wanted <= set(met)
+
+
+def test_rows_of_a_large_block_of_many_sizes(spark):
+    """256,000 members of one block, of sizes from 50 to 5,000 and 200,000 components, one of which has a fifth of all: under four rows a member."""
+    k = spark.range(256_000).withColumnRenamed("id", "c")
+    rows = k.select(near.F.lit(7).cast("long").alias("block"), "c", (50 + near.F.pmod(near.F.xxhash64("c"), near.F.lit(4951))).alias("n"), near.F.when(near.F.col("c") < 56_000, 0).otherwise(near.F.col("c")).alias("root"), near.F.lit(128).alias("weight"))
+    got = near.dealt(rows, rows.groupBy("block").agg(near.F.sum("weight").alias("total")), 80, 32_768 * 128)
+    assert 200_000 < got.count() < 4 * 256_000
+    assert got.groupBy("p", "q").count().agg({"count": "max"}).first()[0] < 2.5 * 32_768
