@@ -94,7 +94,7 @@ def test_bitmaps_of_several_widths_lose_nothing():
 
 
 def dealt_rows(spark, n, root, limit, threshold=80):
-    """(members, rows of parts, pairs that may link and meet, pairs that may link)"""
+    """One block of members 0, 1, ... of sizes n and components root, dealt."""
     rows = spark.createDataFrame([(7, c, int(n[c]), int(root[c]), 1) for c in range(len(n))], "block long, c long, n long, root long, weight long")
     totals = spark.createDataFrame([(7, len(n))], "block long, total long")
     return near.dealt(rows, totals, threshold, limit)
