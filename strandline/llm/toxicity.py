@@ -20,8 +20,8 @@ called _score the new one gets underscores after that name; it is always the las
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -150,7 +150,7 @@ class Scorer:
         return out, places
 
 
-def odds(documents: list[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
+def odds(documents: Iterable[np.ndarray], labels: np.ndarray, n: int) -> np.ndarray:
     """Log odds of label 1, by number, over those of any document; shrunk to 0 as if eight documents of the usual share had it too."""
     up, down, share = np.zeros(n), np.zeros(n), labels.mean()
     for d, y in zip(documents, labels, strict=True):
@@ -167,8 +167,11 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
     rng = np.random.default_rng(seed)
     number: defaultdict = defaultdict(count().__next__)
     documents = [np.array([number[w] for w in tokens(text)], np.int32) for text, _ in rows]
+    del rows
     words, n = list(number), len(number)
-    in_docs = Counter(int(w) for d in documents for w in np.unique(d))
+    in_docs = np.zeros(n, np.int32)
+    for d in documents:
+        in_docs[np.unique(d)] += 1
     common = [w for w in range(n) if in_docs[w] >= 3]
     model = Scorer({words[w]: k + 1 for k, w in enumerate(common)}, grams, width, hidden, window, seed)
     vocabulary = np.zeros(n, np.int64)
@@ -190,7 +193,7 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
         return flat[take], np.repeat(np.arange(len(used)), sizes)
 
     word_odds = odds(documents, labels, n)
-    gram_odds = odds([grams_in(np.unique(d))[0] for d in documents], labels, grams)
+    gram_odds = odds((grams_in(np.unique(d))[0] for d in documents), labels, grams)  # a text's grams at a time
     model.p["words"][1:, 0] = word_odds[common]
     model.p["chars"][:, 0] = gram_odds
     looks = word_odds * (vocabulary > 0) + np.add.reduceat(gram_odds[flat], begins) / lengths
@@ -203,7 +206,7 @@ def train(rows: list[tuple[str, int]], grams: int, width: int, hidden: int, wind
             part = documents[i : i + 200]
             used, ids = np.unique(np.concatenate(part), return_inverse=True)
             cut = np.split(ids, np.cumsum([len(d) for d in part])[:-1])
-            out += model.scores(model.projected(model.vectors([words[w] for w in used])), cut)[0]
+            out += model.scores(model.projected(model.vectors([words[w] for w in used])), cut, 512)[0]
         return out
 
     score = [np.array([looks[d[a:b]].max() for a, b in p]) for d, p in zip(documents, places, strict=True)]
