@@ -29,6 +29,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,13 +158,9 @@ def blocks(phrases: DataFrame, block_windows: int) -> list[DataFrame]:
     return [phrases] if n == 1 else [phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(n)) == k) for k in range(n)]
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000, block_windows: int = 500_000) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs with _n_words, _spans (merged, of words) and _items (item_ids found, sorted; a null last for items without one), the last three columns."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    phrases = written(windows_of(benchmark, window), "windows")
     found = [T.StructField(unused(docs.columns, c), t) for c, t in (("_n_words", T.LongType()), ("_spans", SPANS), ("_items", T.ArrayType(T.StringType())))]
-    schema = T.StructType([*docs.schema.fields, *found])
 
     def answered(rows: pa.Table, n_words, spans, items) -> Iterator[pa.RecordBatch]:
         more = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], SPANS_ARROW), pa.array([in_order(i) for i in items], pa.list_(pa.string()))]
@@ -171,6 +168,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words:
             rows = rows.append_column(field.name, column)
         yield from rows.to_batches()
 
+    return searched(docs, benchmark, T.StructType([*docs.schema.fields, *found]), answered, **parameters)
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, schema: T.StructType, answered, window: int = 10, shard_words: int = 1_000_000, block_windows: int = 500_000) -> DataFrame:
+    """What answered gives, as schema has it, of a shard's rows with their numbers of words, spans and items: made in the task that has the shard."""
+    sc = docs.sparkSession.sparkContext
+    phrases = written(windows_of(benchmark, window), "windows")
     parts = blocks(phrases, block_windows)
     if len(parts) == 1:
         sent = sc.broadcast(Phrases(phrases.collect()))
@@ -196,14 +200,14 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words:
     for part in parts:
         sent = sc.broadcast(Phrases(part.collect()))
 
-        def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def placed(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("index"), strict=True):
                     rows = [(d, [{"start": a, "end": b} for a, b in s], in_order(i)) for d, (s, i) in enumerate(zip(*hits(*pickle.loads(packed.as_py()), sent.value), strict=True)) if s or i]
                     columns = [pa.array([shard] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), SPANS_ARROW, pa.list_(pa.string()))))]
                     yield pa.RecordBatch.from_arrays(columns, names=hit.names)
 
-        found_in.append(written(index.select("shard", "index").mapInArrow(searched, hit), "hits"))
+        found_in.append(written(index.select("shard", "index").mapInArrow(placed, hit), "hits"))
     every = found_in[0]
     for more in found_in[1:]:
         every = every.unionByName(more)
@@ -234,20 +238,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """docs with the spans found cut from their texts; a document of which no word is left goes."""
-    judged = judge(docs, benchmark, **parameters)
-    n_words, spans = judged.columns[-3:-1]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                removed(t.encode(), [(x["start"], x["end"]) for x in s]).decode() if s else t
-                for t, s in zip(batch.column("text").to_pylist(), batch.column(spans).to_pylist(), strict=True)
-            ]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-
-    left = F.aggregate(spans, F.col(n_words), lambda n, s: n - (s["end"] - s["start"]))
-    return judged.where((F.size(spans) == 0) | (left > 0)).mapInArrow(cut, judged.schema).select(*docs.columns)
+    """docs with the spans found cut from their texts; a document of which no word is left goes. Texts are cut in the worker that found the spans, those with spans only: no second worker has them too."""
+
+    def cut(rows: pa.Table, n_words, spans, items) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in rows.to_batches():
+            n, own = n_words[at : at + len(batch)], spans[at : at + len(batch)]
+            at += len(batch)
+            hit = [k for k, s in enumerate(own) if s]
+            if hit:
+                mask = np.zeros(len(batch), bool)
+                mask[hit] = True
+                column, texts = batch.schema.get_field_index("text"), batch.column("text")
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([removed(texts[k].as_py().encode(), own[k]).decode() for k in hit], texts.type))
+                left = [not s or m > sum(b - a for a, b in s) for m, s in zip(n, own, strict=True)]
+                batch = batch.set_column(column, batch.schema.field(column), texts).filter(pa.array(left))
+            yield batch
+
+    return searched(docs, benchmark, docs.schema, cut, **parameters)
 
 
 def op10_decontamination(spark, sf_dir) -> DataFrame:

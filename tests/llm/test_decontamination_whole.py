@@ -25,3 +25,15 @@ def test_null_item_id_as_in_sql(spark, tmp_path):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     want = db.execute(decontamination.SQL).fetchall()
     assert sorted(tuple(r) for r in decontamination.op10_decontamination(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("parameters", [{}, {"block_windows": 2, "shard_words": 20}])
+def test_texts_are_cut_where_spans_are_found(spark, parameters):
+    """A second worker with the same texts once took an executor beyond its memory."""
+    only = " ".join(f"alone{k}" for k in range(12))
+    rows = [(1, f"before {only} after", "a"), (2, only, "b"), (3, None, "c"), (4, "", "d"), (5, "nothing", None), (6, f"é {only}", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    cleaned = decontamination.clean(docs, spark.createDataFrame([(1, only)], "item_id long, text string"), **parameters)
+    assert sorted(map(tuple, cleaned.collect()), key=lambda r: r[0]) == [(1, "before  after", "a"), (3, None, "c"), (4, "", "d"), (5, "nothing", None), (6, "é ", "f")]
+    assert cleaned.schema == docs.schema
+    assert cleaned._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
