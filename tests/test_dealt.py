@@ -110,3 +110,18 @@ def test_gc_depth_reads_the_reads_once(spark, monkeypatch):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_masked_panel_stays_packed(spark):
     assert "conv(" not in queries.panel_count_masked(spark, SF)._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["cigar_clips", "track_components"])
+def test_variants_are_not_sent_whole(spark, name):
+    """They are small as files, and were sent to all tasks through the driver."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        df = queries.QUERIES[name](spark, SF)
+        assert df.count()
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "strategy=merge" in text
